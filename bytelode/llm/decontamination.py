@@ -50,6 +50,18 @@ def leaves(lo: int, hi: int, errors: int, parent: Node | None = None) -> list[No
     return leaves(lo, mid, left, node) + leaves(mid, hi, right, node)
 
 
+def near_tests(item: str, leaf: Node) -> list[tuple[str, int, int]]:
+    """What must also be seen near an exact leaf if its parent holds: the parent's other half, cut
+    into one piece more than the errors left, has a piece unchanged, moved by those errors at most.
+    Each test is a piece and where it may lie, counted from the leaf's start."""
+    up = leaf.parent
+    if up is None:
+        return []
+    lo, hi = (leaf.hi, up.hi) if leaf.lo == up.lo else (up.lo, leaf.lo)
+    marks = [lo + (hi - lo) * i // (up.errors + 1) for i in range(up.errors + 2)]
+    return [(item[a:b], a - leaf.lo - up.errors, b - leaf.lo + up.errors) for a, b in zip(marks, marks[1:])]
+
+
 def best_end(pattern: str, text: str, most: int) -> tuple[int, int]:
     """Smallest distance of ``pattern`` to any substring of ``text`` and where that ends; Myers."""
     m = len(pattern)
@@ -86,11 +98,11 @@ class Items:
         import ahocorasick
 
         self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= shortest]
-        at: dict[str, list[tuple[int, Node]]] = {}
+        at: dict[str, list[tuple[int, Node, list]]] = {}
         self.budget = [int(error_rate * len(t)) for _, t in self.items]
         for n, (_, t) in enumerate(self.items):
             for leaf in leaves(0, len(t), self.budget[n]):
-                at.setdefault(t[leaf.lo : leaf.hi], []).append((n, leaf))
+                at.setdefault(t[leaf.lo : leaf.hi], []).append((n, leaf, near_tests(t, leaf)))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in at.items():
             self.automaton.add_word(piece, (len(piece), uses))
@@ -106,7 +118,13 @@ class Items:
             return []
         for last, (size, uses) in self.automaton.iter(text):
             start = last + 1 - size
-            for n, node in uses:
+            for n, node, tests in uses:
+                for piece, a, b in tests:
+                    if text.find(piece, max(0, start + a), max(0, start + b)) >= 0:
+                        break
+                else:
+                    if tests:
+                        continue
                 known = found.get(n)
                 if known and last < known[2]:  # inside a passage that is already found
                     continue
