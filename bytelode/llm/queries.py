@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing
-from .common import table
+from . import decontamination, language, neardup, packing, toxicity
+from .common import crc_mod5, table
 
 
 def tokenizer_path() -> str:
@@ -14,13 +14,37 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    train = toxicity.labelled_sample(docs.where(crc_mod5("doc_id") != 0), labels)
+    return toxicity.score_toxicity(docs, train, crc_mod5("doc_id") == 0)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, docs.where(crc_mod5("doc_id") != 0), crc_mod5("doc_id") == 0)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
 
 
-QUERIES = {f.__name__: f for f in (op8_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op7_language_id,
+        op8_benchmark_decontamination,
+        op9_minhash_near_dedup,
+        op10_best_fit_packing,
+    )
+}
 SQL: dict[str, str] = {}
