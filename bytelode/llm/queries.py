@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, neardup, packing, toxicity
+from . import decontamination, html_text, language, neardup, packing, toxicity
 from .common import crc_mod5, table
 
 
@@ -20,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, train, crc_mod5("doc_id") == 0)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, docs.where(crc_mod5("doc_id") != 0), crc_mod5("doc_id") == 0)
@@ -41,6 +45,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity,
+        op6_html_extraction,
         op7_language_id,
         op8_benchmark_decontamination,
         op9_minhash_near_dedup,
