@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, language, lm_scoring, neardup, packing, toxicity
+from . import decontamination, html_text, language, line_dedup, lm_scoring, neardup, packing, toxicity
 from .common import crc_mod5, table
 
 
@@ -20,6 +20,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, train, crc_mod5("doc_id") == 0)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm_scoring.score_documents(docs, docs.where(crc_mod5("doc_id") != 1), crc_mod5("doc_id") == 1)
@@ -50,6 +55,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity,
+        op2_line_dedup,
         op4_lm_scoring,
         op6_html_extraction,
         op7_language_id,
