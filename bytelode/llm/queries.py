@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, language, line_dedup, lm_scoring, neardup, packing, toxicity
+from . import decontamination, html_text, language, line_dedup, lm_scoring, neardup, packing, quality, toxicity
 from .common import crc_mod5, table
 
 
@@ -25,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm_scoring.score_documents(docs, docs.where(crc_mod5("doc_id") != 1), crc_mod5("doc_id") == 1)
@@ -56,6 +60,7 @@ QUERIES = {
     for f in (
         op1_toxicity,
         op2_line_dedup,
+        op3_quality_rules,
         op4_lm_scoring,
         op6_html_extraction,
         op7_language_id,
