@@ -198,7 +198,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    columns = docs.columns
-    made = with_statistics(docs)
+    made = with_statistics(docs.select("text", "lang", "source", F.struct(*docs.columns).alias("__doc"))).drop("text")
     stats = staged(made.select("lang", "source", "base_failed", *X), "statistics")
-    return judge(made, fit(stats)).where("kept").select(*columns)
+    return judge(made, fit(stats)).where("kept").select("__doc.*")
