@@ -141,14 +141,21 @@ class Calibration:
         self.constant = max(0.5, float(n)) / words
         x = np.array([self.evidence(s, w / k) for s, _, k, w in rows] or [0.0])
         y, weight = np.array([t for _, t, _, _ in rows] or [0]), np.array([float(k) for _, _, k, _ in rows] or [1.0])
-        self.a, self.b = 0.0, float(np.log((weight @ y + 0.5) / (weight @ (1 - y) + 0.5)))
-        for _ in range(60):  # Newton's steps with a weak prior on both coefficients
-            p = 1 / (1 + np.exp(-np.clip(self.a * x + self.b, -30, 30)))
+        at = np.array([0.0, float(np.log((weight @ y + 0.5) / (weight @ (1 - y) + 0.5)))])
+
+        def loss(c: np.ndarray) -> float:
+            z = c[0] * x + c[1]
+            return float(weight @ (np.logaddexp(0, z) - y * z)) + 5e-4 * float(c @ c)
+
+        for _ in range(60):  # Newton's steps, halved until the loss falls
+            p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -30, 30)))
             g, v = weight * (y - p), weight * p * (1 - p)
-            grad = np.array([g @ x - 1e-3 * self.a, g.sum() - 1e-3 * self.b])
-            hess = np.array([[v @ (x * x) + 1e-3, v @ x], [v @ x, v.sum() + 1e-3]])
-            step = np.linalg.solve(hess, grad)
-            self.a, self.b = self.a + float(np.clip(step[0], -2, 2)), self.b + float(np.clip(step[1], -2, 2))
+            grad = np.array([g @ x, g.sum()]) - 1e-3 * at
+            step = np.linalg.solve(np.array([[v @ (x * x) + 1e-3, v @ x], [v @ x, v.sum() + 1e-3]]), grad)
+            while loss(at + step) > loss(at) and abs(step).max() > 1e-9:
+                step /= 2
+            at = at + step
+        self.a, self.b = max(0.0, float(at[0])), float(at[1])
 
     def evidence(self, score: float, words: float) -> float:
         """Minus the log of the probability that chance gives such a segment in so many words."""
