@@ -128,3 +128,11 @@ def test_stream(spark, tmp_path):
         compress_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).select("path").distinct().count() == expected
         (tmp_path / "in" / "two").write_bytes(BLOBS["b"])
+
+
+def test_sql_functions(spark):
+    from bytelode.functions.sql import METHODS, register
+
+    register(spark)
+    row = spark.sql("SELECT crc16(X'313233343536373839') c, " + ", ".join(f"{m}_decode({m}_encode(X'616263616263')) {m}" for m in METHODS)).first()
+    assert row["c"] == 0xFEE8 and all(bytes(row[m]) == b"abcabc" for m in METHODS)
