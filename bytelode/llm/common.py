@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, dealt out to all cores if it has fewer splits than there are cores; larger
+    tables stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where the session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,3 +59,9 @@ def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8: bytes.lower and bytes.split know
     exactly the ASCII letters and the ASCII white space."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is: then Spark
+    shuffles.  ``df`` should be cheap to read again (a written table)."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -1,47 +1,110 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components, and similarity links found bucket by bucket."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Edges a task takes.
+PER_TASK = 500_000
+
 
-def _with_least(pairs: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, tasks: int) -> DataFrame:
     """(u, v, m): m the least of u and its partners.  The minimum is taken before the shuffle, so a
     hub with very many partners is a small group; the join back is one that Spark can split."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+    return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m")).coalesce(tasks)
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first())
+    mark = (F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20))))
+    return tuple(edges.agg(*mark).first())
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, comp) for every node of ``edges`` (u, v): comp is the least node reachable.
 
-    Each round points every node at the least node it sees; a component of diameter d is a star after
-    O(log d) rounds.  Edges are checkpointed in the shared folder after each round."""
+    Large and small stars alternate: each round points every node at the least node it sees, and a
+    component of diameter d is a star after O(log d) rounds.  Tasks are as many as the edges need,
+    ``PER_TASK`` each, whatever the shuffle's partitions.  Edges are checkpointed in the shared folder
+    after each round."""
     edges = checkpointed(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     mark = _mark(edges)
+    tasks = max(8, mark[0] // PER_TASK)
+    edges = edges.coalesce(tasks)
     for _ in range(most_rounds if mark[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = _with_least(large)
-        edges = checkpointed(
-            small.select("u", F.col("m").alias("v"))
-            .unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
+        large = _with_least(both, tasks).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large.distinct().coalesce(tasks), tasks)
+        new = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = checkpointed(new.where("u <> v").distinct().coalesce(tasks))
         if (now := _mark(edges)) == mark:
             break
         mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    )
+    else:
+        if mark[0]:
+            raise RuntimeError("components did not settle")
+    own = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(own)
+
+
+def linked(
+    buckets: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], most_rounds: int = 4
+) -> DataFrame:
+    """Components (node, comp) of the verified links between ids that share a bucket (key, id, code).
+
+    ``near`` says of two codes if their ids may be linked at all; it is part of the joins, so what it
+    rules out is never a row.
+
+    Every id of a bucket is first compared with a pivot of it; ids already known to be connected
+    need no comparison, so a bucket of n alike ids costs n comparisons, not n squared.  This is repeated with
+    other pivots while buckets still hold many pairs of unconnected ids; then all such pairs are
+    compared, so every link between components is found.  ``verify`` takes distinct pairs (x, y), x < y,
+    and returns those that hold, as a written table (u, v)."""
+    links = comps = None
+    for turn in range(most_rounds):
+        last = False
+        if comps is None:
+            rows = buckets.withColumn("comp", F.col("id"))
+        else:
+            rows = checkpointed(_open(buckets, comps))
+            n, left = _left(rows)
+            if not n:
+                break
+            last = turn == most_rounds - 1 or left <= 8 * n
+        if last:
+            a, b = (rows.select("key", *(F.col(c).alias(s + i) for c, s in (("id", "i"), ("comp", "c"), ("code", "e")))) for i in "xy")
+            pairs = a.join(b, "key").where("ix < iy AND cx <> cy").where(near(F.col("ex"), F.col("ey"))).select(F.col("ix").alias("x"), F.col("iy").alias("y"))
+        else:
+            order = F.xxhash64("id", F.pmod("key", F.lit(3)), F.lit(turn))
+            pivots = rows.groupBy("key").agg(F.min_by(F.struct("id", "comp", "code"), order).alias("p"))
+            pairs = rows.join(pivots, "key").where("comp <> p.comp").where(near(F.col("code"), F.col("p.code")))
+            pairs = pairs.select(F.least("id", "p.id").alias("x"), F.greatest("id", "p.id").alias("y"))
+        found = verify(pairs.select("x", "y").distinct())
+        links = found if links is None else links.unionByName(found)
+        comps = checkpointed(components(links))
+        if last:
+            break
+    return comps
+
+
+def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of buckets whose ids are in more than one component."""
+    rows = buckets.join(comps, buckets["id"] == comps["node"], "left").select("key", "id", "code", F.coalesce("comp", "id").alias("comp"))
+    several = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    return rows.join(several, "key")
+
+
+def _left(rows: DataFrame) -> tuple[int, int]:
+    """Rows in open buckets, and pairs there between different components."""
+    n, q = F.col("n"), F.col("q")
+    by = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    by = by.groupBy("key").agg(F.sum("n").alias("n"), F.sum(n * n).alias("q"))
+    rows_left, pairs = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((n * n - q) / 2), F.lit(0))).first()
+    return rows_left, int(pairs)

@@ -1,12 +1,14 @@
 """Near duplicates by HyperMinHash (operator 9).
 
-Each of 128 registers keeps, of the least hash its bucket saw, the count of leading zeros (6 bits)
+Each of 216 registers keeps, of the least hash its bucket saw, the count of leading zeros (6 bits)
 and the 10 bits after the leading one.  Every bucket hashes all shingles with a multiplier of its
-own, so short documents fill their registers as long ones do.  Bands of four compressed registers
-propose pairs; at similarity 0.8 a pair misses all 32 bands with probability 5e-8.  The share of equal
+own, so short documents fill their registers as long ones do.  Bands of six compressed registers
+propose pairs; at similarity 0.8 a pair misses all 36 bands with probability 2e-5, at 0.1 it shares one with
+probability 4e-5.  The share of equal
 registers, corrected for chance collisions of the compressed values, estimates the Jaccard
 similarity; only pairs that fall short by more than five standard errors are put aside, the
-others are confirmed on their full shingle sets.
+others are confirmed on their full shingle sets.  The last bits of the registers make a code that goes with
+the bands, so that pairs sharing a band and little else are dropped inside the join.
 
 Documents with equal shingle sets are one class and compared once.  Within a bucket every class
 meets pivots first; classes already known to be connected need no further comparison, so a group of n
@@ -22,15 +24,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, staged
-from .components import components
+from .common import bounded_broadcast, checkpointed, staged
+from .components import linked
 from .hashing import mixed, shingle_sets
 
-REGISTERS, ROWS, MANTISSA = 128, 4, 10
+REGISTERS, ROWS, MANTISSA = 216, 6, 10
 BANDS = REGISTERS // ROWS
+#: Numbers of documents that are sent to all tasks at most.
+MOST_SENT = 1_000_000
 _seeds = mixed(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _times, _flips = _seeds[:REGISTERS, None] | np.uint64(1), _seeds[REGISTERS:, None]
 
@@ -44,6 +48,28 @@ def registers(grams: np.ndarray) -> np.ndarray:
     return zeros << np.uint16(MANTISSA) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
 
 
+def band_keys(r: np.ndarray) -> np.ndarray:
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for part in r.reshape(BANDS, ROWS).astype(np.uint64).T:
+        key = mixed((key ^ part) * np.uint64(0x9E3779B97F4A7C15))
+    return key.view(np.int64)
+
+
+def code_of(r: np.ndarray) -> np.ndarray:
+    """The last bit of every register."""
+    bits = np.zeros(256, np.uint8)
+    bits[:REGISTERS] = r & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def maybe_near(a: Column, b: Column, threshold: float) -> Column:
+    """Codes of sets at the threshold differ in half of the other registers; five standard errors more
+    are allowed."""
+    p = (1 - threshold) / 2
+    most = int(REGISTERS * p + 5 * (REGISTERS * p * (1 - p)) ** 0.5)
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, 4)), F.bit_count(a[0].bitwiseXOR(b[0]))) <= most
+
+
 def chance(n: int = 1000) -> float:
     """Probability that registers of disjoint sets of ``n`` shingles agree: the sum over all register
     values of the squared probability that the least of n uniform hashes falls there."""
@@ -67,30 +93,35 @@ def _digest(grams: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, registers, band keys (null without shingles)."""
-    salts = mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
-
+    """doc_id, row number, n_shingles, digest of the shingle set, registers, band keys, code (null without shingles)."""
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 cut = batch.slice(lo, 500)
-                size, digest, regs, bands = [], [], [], []
+                size, digest, regs, bands, codes = [], [], [], [], []
                 for grams in shingle_sets(cut.column(1).to_pylist(), width):
                     size.append(len(grams))
                     if not len(grams):
-                        digest.append(None), regs.append(None), bands.append(None)
+                        digest.append(None), regs.append(None), bands.append(None), codes.append(None)
                         continue
                     r = registers(grams)
                     digest.append(_digest(grams)), regs.append(r.tobytes())
-                    bands.append(mixed(r.view(np.uint64) ^ salts).view(np.int64))
+                    bands.append(band_keys(r)), codes.append(code_of(r))
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "registers", "bands"],
+                    [
+                        cut.column(0),
+                        cut.column(2),
+                        pa.array(size, pa.int64()),
+                        *(pa.array(x, pa.binary()) for x in (digest, regs)),
+                        *(pa.array(x, pa.list_(pa.int64())) for x in (bands, codes)),
+                    ],
+                    names=["doc_id", "row", "n_shingles", "digest", "registers", "bands", "code"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, digest binary, registers binary, bands array<long>"
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(
+        run, f"doc_id {kind}, row long, n_shingles long, digest binary, registers binary, bands array<long>, code array<long>"
     )
 
 
@@ -134,7 +165,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                     keep.append(good)
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("rep_id_x", "rep_id_y")).alias("want")).distinct()
+    ids = checkpointed(pairs.select(F.explode(F.array("rep_id_x", "rep_id_y")).alias("want")).distinct())
+    ids = bounded_broadcast(ids, MOST_SENT)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["want"]), "left_semi").select("doc_id", "text")
     tx, ty = (texts.select(F.col("doc_id").alias(f"d{s}"), F.col("text").alias(f"t{s}")) for s in "xy")
     both = (
@@ -145,71 +177,57 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, most_rounds: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_class for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, n_class and row for every row of ``docs``; rows are numbered
+    in the order they are read."""
     docs = docs.select("doc_id", "text")
     made = staged(sketches(docs, width), "sketches")
-    known = made.where("digest IS NOT NULL")
     classes = staged(
-        known.groupBy("digest").agg(
-            F.min("doc_id").alias("rep_id"), F.first("registers").alias("registers"), F.first("bands").alias("bands"), F.count("*").alias("n_class")
+        made.where("digest IS NOT NULL")
+        .groupBy("digest")
+        .agg(
+            F.min("doc_id").alias("rep_id"),
+            F.first("registers").alias("registers"),
+            F.first("bands").alias("bands"),
+            F.first("code").alias("code"),
+            F.count("*").alias("n_class"),
         ),
         "classes",
     )
-    bands = classes.select("digest", F.explode("bands").alias("key"))
+    bands = classes.select(F.col("digest").alias("id"), F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = staged(bands.join(shared, "key"), "buckets")
-    links = comps = None
-    for turn in range(most_rounds):
-        open_ = buckets.withColumn("comp", F.col("digest")) if comps is None else _open(buckets, comps)
-        if comps is not None:
-            open_ = checkpointed(open_)
-            rows, left = _left(open_)
-            if not rows:
-                break
-            last = turn == most_rounds - 1 or left <= 4 * rows
-        else:
-            last = False
-        if last:  # what pivots have not joined is compared pair by pair
-            a, b = (open_.select("key", F.col("digest").alias(d), F.col("comp").alias(c)) for d, c in (("x", "cx"), ("y", "cy")))
-            pairs = a.join(b, "key").where("x < y AND cx <> cy")
-        else:
-            order = F.xxhash64("digest", F.pmod("key", F.lit(3)), F.lit(turn))
-            pivots = open_.groupBy("key").agg(F.min_by(F.struct("digest", "comp"), order).alias("p"))
-            pairs = open_.join(pivots, "key").where("comp <> p.comp").select(F.least("digest", "p.digest").alias("x"), F.greatest("digest", "p.digest").alias("y"))
-        pairs = pairs.select("x", "y").distinct()
-        pairs = checkpointed(_promising(pairs, classes, percent / 100))
-        found = checkpointed(_confirmed(pairs, docs, width, percent))
-        links = found if links is None else links.unionByName(found)
-        comps = checkpointed(components(links))
-        if last:
-            break
+    codes = classes.select(F.col("digest").alias("id"), "code")
+    buckets = staged(bands.join(shared, "key").join(codes, "id"), "buckets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return checkpointed(_confirmed(checkpointed(_promising(pairs, classes, percent / 100)), docs, width, percent))
+
+    comps = linked(buckets, lambda a, b: maybe_near(a, b, percent / 100), verify)
     ids = classes.select("digest", "rep_id", "n_class").join(comps, classes["digest"] == comps["node"], "left")
     ids = ids.select("digest", "rep_id", "n_class", F.coalesce("comp", "digest").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
     named = ids.join(least, "comp").select("digest", "component_id", "n_class")
+    component = F.coalesce("component_id", "doc_id")
     return (
-        made.select("doc_id", "n_shingles", "digest")
+        made.select("doc_id", "row", "n_shingles", "digest")
         .join(named, "digest", "left")
         .select(
             "doc_id",
             "n_shingles",
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+            component.alias("component_id"),
+            component.eqNullSafe(F.col("doc_id")).alias("kept"),
             F.coalesce("n_class", F.lit(1)).alias("n_class"),
+            "row",
         )
     )
 
 
-def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows of buckets whose classes are in more than one component."""
-    rows = buckets.join(comps, buckets["digest"] == comps["node"], "left").select("key", "digest", F.coalesce("comp", "digest").alias("comp"))
-    several = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    return rows.join(several, "key")
-
-
-def _left(rows: DataFrame) -> tuple[int, int]:
-    """Rows in open buckets, and pairs there between different components."""
-    by = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    n, pairs = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0))).first()
-    return n, int(pairs)
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` but for those that another row of their group stands for: of a group stays
+    its least number, of rows with that number the first.  Rows without shingles stay."""
+    found = staged(near_duplicates(docs, width, percent).select("row", "component_id", "kept", "n_shingles"), "groups")
+    stays = found.where("kept AND n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("stays"))
+    gone = found.where("n_shingles > 0").join(stays, found["component_id"].eqNullSafe(stays["component_id"]), "left")
+    gone = checkpointed(gone.where(~F.col("row").eqNullSafe(F.col("stays"))).select(F.col("row").alias("__gone")))
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.join(bounded_broadcast(gone, MOST_SENT), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
