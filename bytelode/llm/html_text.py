@@ -40,8 +40,9 @@ WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "pagination pager toolbar copyright legal disclaimer hidden skip search form".split()
 )
-# Words that make such a name one of a container or of the article's own head
-SAFE = frozenset("has with no without layout article entry post story content body page".split())
+# First words of names that say what a container has, and owners of a header that is the article's
+CONTAINERS = frozenset("has with no without layout".split())
+OWNERS = frozenset("article entry post story content".split())
 # Names of elements that hold the article
 HOLDERS = frozenset(
     "article-body articlebody article-content article-text post-content post-body entry-content story-body story-content "
@@ -64,14 +65,14 @@ class Line(NamedTuple):
     holder: tuple[int, int]  # rank and number of the element that holds the article here
 
 
-def _named(names: str, tag: str) -> bool:
-    """Do class names or ids mark what is no article text?"""
+def _named(names: str) -> bool:
+    """Do class names or ids mark what is no article text?  The first or the last word of a name counts."""
     for name in names.split():
         words = [w.lower() for w in PARTS.findall(name)]
-        if words and (words[0] in WORDS or words[-1] in WORDS):
-            if len(words) > 1 and (words[0] in SAFE and (words[0] in ("has", "with", "no", "without", "layout") or words[-1] == "header")):
-                continue
-            return True
+        if words and not WORDS.isdisjoint((words[0], words[-1])):
+            own_head = words[0] in OWNERS and words[-1] == "header"
+            if len(words) == 1 or not (words[0] in CONTAINERS or own_head):
+                return True
     return False
 
 
@@ -86,7 +87,7 @@ def _element(tag: str, attributes: str) -> tuple[bool, int]:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 if tag not in ("html", "body"):
-                    dropped |= _named(value, tag)
+                    dropped |= _named(value)
                     holds = max(holds, 2 * any(x.lower() in HOLDERS for x in value.split()))
             elif key == "role":
                 dropped |= value.lower() in ROLES

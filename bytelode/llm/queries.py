@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_text, language, line_dedup, lm_scoring, neardup, packing, quality, tool_calls, toxicity
-from .common import crc_mod5, table
+from .common import crc_mod5, dealt, table
 
 
 def tokenizer_path() -> str:
@@ -16,7 +16,7 @@ def tokenizer_path() -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     train = toxicity.labelled_sample(docs.where(crc_mod5("doc_id") != 0), labels)
     return toxicity.score_toxicity(docs, train, crc_mod5("doc_id") == 0)
 
@@ -27,11 +27,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"))
+    return quality.verdicts(dealt(table(spark, sf_dir, "documents")))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return lm_scoring.score_documents(docs, docs.where(crc_mod5("doc_id") != 1), crc_mod5("doc_id") == 1)
 
 
@@ -45,24 +45,24 @@ def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(dealt(table(spark, sf_dir, "pages")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return language.identify(docs, docs.where(crc_mod5("doc_id") != 0), crc_mod5("doc_id") == 0)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.leaks(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
+    return packing.pack(dealt(table(spark, sf_dir, "documents")), tokenizer_path(), 4096)
 
 
 QUERIES = {
