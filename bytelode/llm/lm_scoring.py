@@ -55,14 +55,12 @@ def word_counts(train: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def out():
-            rows = Counter()
-            for w, n in seen.items():
-                rows[(key_of(w), tail_of(w) if w != END else -1)] += n
+            keys = [w if len(w) <= 40 else key_of(w) for w in seen]
+            tails = [tail_of(w) if w != END else -1 for w in seen]
+            times = list(seen.values())
             seen.clear()
-            keys = list(rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in keys], pa.binary()), pa.array([t for _, t in keys], pa.int32()), pa.array(list(rows.values()), pa.int64())],
-                names=["key", "tail", "n"],
+                [pa.array(keys, pa.binary()), pa.array(tails, pa.int32()), pa.array(times, pa.int64())], names=["key", "tail", "n"]
             )
 
         for batch in batches:
@@ -76,6 +74,22 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "key binary, tail int, n long").groupBy("key", "tail").agg(F.sum("n").alias("n"))
 
 
+class Words(dict):
+    """key to (id, log10 of the count and a half, that less the log10 of its class where it is no word
+    of the model, False); other words give (id of their class, 0, minus the class, True)."""
+
+    def __init__(self, known: dict, log_tail: list[float]):
+        super().__init__(known)
+        self.others = [(WORDS + k, 0.0, -log, True) for k, log in enumerate(log_tail)]
+
+    def __missing__(self, word: bytes) -> tuple[int, float, float, bool]:
+        found = self.get(key_of(word)) if len(word) > 40 else None
+        return found or self.others[(word[0] * 5 + word[-1]) % TAILS]
+
+    def __reduce__(self):
+        return Words, (dict(self), [-log for _, _, log, _ in self.others])
+
+
 class Vocabulary:
     """Ids and shares of the head's words; totals of tail classes; sums over the corpus."""
 
@@ -94,15 +108,15 @@ class Vocabulary:
             kinds[r["tail"]] -= 1
         self.log_tail = np.log10(totals + 0.5 * kinds + 0.5)
         self.counts = np.concatenate([[ends], [r["n"] for r in own], np.zeros(WORDS - 1 - len(own)), totals])
-        #: key to (id, log10 of the count and a half)
-        self.words = {bytes(r["key"]): (i + 1 if i < WORDS - 1 else WORDS + r["tail"], math.log10(r["n"] + 0.5)) for i, r in enumerate(head)}
+        known = {}
+        for i, r in enumerate(head):
+            log = math.log10(r["n"] + 0.5)
+            known[bytes(r["key"])] = (i + 1, log, 0.0, False) if i < WORDS - 1 else (WORDS + r["tail"], log, log - float(self.log_tail[r["tail"]]), False)
+        self.words = Words(known, self.log_tail.tolist())
         self.log_all = math.log10(self.n + 0.5 * (self.v + 1))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get, out = self.words.get, []
-        for w in words:
-            found = get(w if len(w) <= 40 else key_of(w))
-            out.append(found[0] if found else WORDS + tail_of(w))
+        out = [e[0] for e in map(self.words.__getitem__, words)]
         out.append(0)
         return np.array(out, np.int32)
 
@@ -183,32 +197,18 @@ def _partial_scores(docs: DataFrame, held_out: Column, vocabulary: Vocabulary, f
         part, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, known, base, rest, keys, times = [], [], [], [], [], []
-            get = v.words.get
             for text in batch.column(2).to_pylist():
-                own, n, log, others = [], 0, 0.0, []
-                tail = 0.0  # of the words outside the model: their logs less those of their classes
-                for w in words_of(text):
-                    found = get(w if len(w) <= 40 else key_of(w))
-                    if found:
-                        i, c = found
-                        own.append(i)
-                        n += 1
-                        log += c
-                        if i >= WORDS:
-                            tail += c - v.log_tail[i - WORDS]
-                    else:
-                        k = tail_of(w)
-                        own.append(WORDS + k)
-                        tail -= v.log_tail[k]
-                        others.append(w)
+                words = words_of(text)
+                found = list(map(v.words.__getitem__, words))
+                own = [e[0] for e in found]
                 own.append(0)
+                others = Counter([key_of(w) for w, e in zip(words, found) if e[3]])
                 ids.append(np.array(own, np.int32))
-                known.append(n + v.known_end)
-                base.append(log + v.log_end)
-                rest.append(tail)
-                grouped = Counter(map(key_of, others))
-                keys.append(list(grouped))
-                times.append(list(grouped.values()))
+                known.append(len(words) - others.total() + v.known_end)
+                base.append(sum([e[1] for e in found]) + v.log_end)
+                rest.append(sum([e[2] for e in found]))
+                keys.append(list(others))
+                times.append(list(others.values()))
             if not ids:
                 continue
             score = model.score(ids) / math.log(10) + np.array(rest)

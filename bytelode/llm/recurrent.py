@@ -173,7 +173,9 @@ class Gru:
             dh[:k] = d * ~start[t, :k, None] if start[t, :k].any() else d
         ids, flat = x[live], input_grad[live]
         order = np.argsort(ids, kind="stable")
-        rows, first = np.unique(ids[order], return_index=True)
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        rows = ids[first]
         grads.append(("inputs", np.add.reduceat(flat[order], first, axis=0), rows))
         grads.append(("state", state_grad, slice(None)))
         for name, grad, at in grads:
