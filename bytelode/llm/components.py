@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, staged
 
 #: Edges a task takes.
 PER_TASK = 500_000
@@ -63,11 +63,13 @@ def linked(
     rules out is never a row.
 
     Every id of a bucket is first compared with a pivot of it; ids already known to be connected
-    need no comparison, so a bucket of n alike ids costs n comparisons, not n squared.  This is repeated with
-    other pivots while buckets still hold many pairs of unconnected ids; then all such pairs are
+    need no comparison, so a bucket of n alike ids costs n comparisons, not n squared.  The first pivot is
+    the id whose buckets hold the most rows: what a group was copied from shares most with all others.
+    This is repeated with other pivots while buckets still hold many pairs of unconnected ids; then all such pairs are
     compared, so every link between components is found.  ``verify`` takes distinct pairs (x, y), x < y,
     and returns those that hold, as a written table (u, v)."""
     links = comps = None
+    buckets = _weighed(buckets)
     for turn in range(most_rounds):
         last = False
         if comps is None:
@@ -82,7 +84,7 @@ def linked(
             a, b = (rows.select("key", *(F.col(c).alias(s + i) for c, s in (("id", "i"), ("comp", "c"), ("code", "e")))) for i in "xy")
             pairs = a.join(b, "key").where("ix < iy AND cx <> cy").where(near(F.col("ex"), F.col("ey"))).select(F.col("ix").alias("x"), F.col("iy").alias("y"))
         else:
-            order = F.xxhash64("id", F.pmod("key", F.lit(3)), F.lit(turn))
+            order = F.struct(F.when(F.lit(turn) == 0, -F.col("weight")), F.xxhash64("id", F.pmod("key", F.lit(3)), F.lit(turn)))
             pivots = rows.groupBy("key").agg(F.min_by(F.struct("id", "comp", "code"), order).alias("p"))
             pairs = rows.join(pivots, "key").where("comp <> p.comp").where(near(F.col("code"), F.col("p.code")))
             pairs = pairs.select(F.least("id", "p.id").alias("x"), F.greatest("id", "p.id").alias("y"))
@@ -94,9 +96,17 @@ def linked(
     return comps
 
 
+def _weighed(buckets: DataFrame) -> DataFrame:
+    """``buckets`` with weight, the rows in all buckets of the id, as a written table."""
+    buckets = staged(buckets, "buckets")
+    rows = buckets.select("key", "id").join(buckets.groupBy("key").agg(F.count("*").alias("n")), "key")
+    weights = rows.groupBy("id").agg(F.sum("n").alias("weight"))
+    return staged(buckets.join(weights, "id"), "weighed")
+
+
 def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of buckets whose ids are in more than one component."""
-    rows = buckets.join(comps, buckets["id"] == comps["node"], "left").select("key", "id", "code", F.coalesce("comp", "id").alias("comp"))
+    rows = buckets.join(comps, buckets["id"] == comps["node"], "left").select("key", "id", "code", "weight", F.coalesce("comp", "id").alias("comp"))
     several = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
     return rows.join(several, "key")
 

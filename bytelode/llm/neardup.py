@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     bands = classes.select(F.col("digest").alias("id"), F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     codes = classes.select(F.col("digest").alias("id"), "code")
-    buckets = staged(bands.join(shared, "key").join(codes, "id"), "buckets")
+    buckets = bands.join(shared, "key").join(codes, "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return checkpointed(_confirmed(checkpointed(_promising(pairs, classes, percent / 100)), docs, width, percent))
