@@ -44,6 +44,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number of each row in __row, as a written table: numbers taken anew by another job
+    could differ."""
+    return staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -1,22 +1,20 @@
 """Fuzzy line deduplication with SimHash, in DataFrame functions alone (operator 2).
 
-Lines are normalised to lower-case letters and digits (all digits alike).  A distinct line gets a
-64-bit SimHash of the 24 of its words with the least hashes.  Two lines within seven bits of each other agree in one of eight
-pigeonhole blocks of eight bits; each block is joined together with an anchor, the two of the
-line's longer words that come first in one of two orders of hashes, which keeps buckets small at any number of lines.  Candidates
-are confirmed by edit distance on the whole lines, and of each connected group the first occurrence
-stays.
+Lines are normalised to lower-case letters and digits (all digits alike).  Of a distinct line all pieces
+of 12 characters are hashed; those of the 16 least hashes are its keys, and lines that share a key are
+candidates.  A piece outlives every edit that does not touch it, wherever in the line it stands, so it does
+not matter in which words the edits are.  Of candidates are put aside those whose lengths rule the similarity
+out and those whose 64-bit SimHashes, of all pieces of four characters of the whole line, differ in more than
+``CUT`` bits.  The others are confirmed by edit distance on the whole lines, whatever their length, and of
+each connected group the first occurrence stays.
 
-SimHash can promise no edit similarity: one word changed in thirty turns about five of the 64 bits, so
-the usual three bits in four blocks would lose most such pairs.  Eight anchored blocks find them; how
-many of all pairs at the threshold are found is measured in the README.
+Neither keys nor SimHash promise an edit similarity: how many pairs at the threshold are found is held
+against brute force in the tests and given in the README.
 
 Lines of less than ``shortest`` normalised characters stay as they are: too little to tell them apart.
-Lines longer than ``longest`` characters are joined only if equal after normalising.
 
-Nulls: a null text has no lines and stays null.  Repeated rows are told apart by their place, so
-one of them keeps the line.  ``docs`` must give the same rows in the same order whenever it is read, as
-files do."""
+Nulls: a null text has no lines and stays null.  Repeated rows are told apart by their place, which is
+written once, so one of them keeps the line."""
 
 from __future__ import annotations
 
@@ -25,12 +23,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, checkpointed, staged
+from .common import bounded_broadcast, checkpointed, numbered, staged
 from .components import linked
 
 MOST_SENT = 1_000_000
-#: Words of a line, those of least hash, that its SimHash sums up.
-SAMPLE = 24
+#: Characters of the pieces whose least hashes are keys, and how many; characters of those in the SimHash.
+LONG, KEYS, SHORT = 12, 16, 4
+#: Bits in which the SimHashes of candidates differ at most.
+CUT = 26
+#: Pieces taken from a line at a time; seven bits count them.
+SEGMENT = 120
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,51 +45,56 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[^\p{L}0]+", " "))
 
 
-def simhash(hashes: Column) -> Column:
-    """Bits set in over half of at most 127 ``hashes``.  Eight counters of eight bits share a long, so one
-    add counts eight bits of a hash."""
-    mask = F.lit(sum(1 << 8 * k for k in range(8)))
-    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(8)))
+def pieces(segment: Column, width: int) -> Column:
+    """Hashes of the pieces of ``width`` characters that begin in the first ``SEGMENT`` ones."""
+    last = F.greatest(F.lit(1), F.least(F.lit(SEGMENT), F.length(segment) - (width - 1)))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(segment, i, F.lit(width))))
+
+
+def segments(norm: Column, width: int) -> Column:
+    """``norm`` in parts whose first ``SEGMENT`` characters begin its pieces of ``width``: positions in
+    a long text are far to count to."""
+    last = F.greatest(F.lit(0), F.floor((F.length(norm) - width) / SEGMENT).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(norm, k * SEGMENT + 1, F.lit(SEGMENT + width - 1)))
+
+
+def simhash(parts: Column) -> Column:
+    """Bits set in over half of the hashes in ``parts``, arrays of at most 127.  Eight counters of a byte share a
+    long, so one add counts eight bits of a hash; the sums over the parts have 32 bits each."""
+    bytes_, halves = (F.lit(sum(1 << step * k for k in range(64 // step))) for step in (8, 32))
+    zero = lambda n: F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(n)))
 
     def add(acc: Column, h: Column) -> Column:
-        return F.struct(*((acc[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(mask)).alias(f"c{i}") for i in range(8)))
-
-    def bits(acc: Column) -> Column:
-        out, half = F.lit(0).cast("long"), F.size(hashes)
-        for i in range(8):
-            for k in range(8):
-                bit = 1 << (i + 8 * k)
-                count = F.shiftrightunsigned(acc[f"c{i}"], 8 * k).bitwiseAND(F.lit(255))
-                out = out.bitwiseOR(F.when(count * 2 > half, F.lit(bit if bit < 1 << 63 else bit - (1 << 64))).otherwise(F.lit(0).cast("long")))
-        return out
+        return F.struct(*((acc[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(bytes_)).alias(f"c{i}") for i in range(8)))
 
-    return F.aggregate(hashes, zero, add, bits)
+    def widen(acc: Column, part: Column) -> Column:
+        def of(c: Column) -> Column:
+            return F.struct(*((acc[f"c{8 * k + i}"] + F.shiftrightunsigned(c[f"c{i}"], 8 * k).bitwiseAND(halves * 255)).alias(f"c{8 * k + i}") for k in range(4) for i in range(8)))
 
+        return let(F.aggregate(part, zero(8), add), of)
 
-def signature(norm: Column) -> Column:
-    """struct of the SimHash and the two anchors of a normalised line."""
-
-    def of(h: Column) -> Column:
-        sim = let(F.slice(h, 1, SAMPLE), simhash)
-        other = F.sort_array(F.transform(F.filter(h, lambda x: (x < 0) | (h[0] >= 0)), lambda x: F.xxhash64(x)))
-        pair = lambda a: F.xxhash64(a[0], F.get(a, F.lit(1)))
-        return F.struct(sim.alias("sim"), pair(h).alias("a0"), let(other, pair).alias("a1"))
-
-    # words of five letters or more get negative hashes and come first: frequent short words are no anchors
-    top = F.lit(-(1 << 63))
-    hashed = F.transform(
-        F.split(norm, " "),
-        lambda w: F.when(F.length(w) >= 5, F.xxhash64(w).bitwiseOR(top)).otherwise(F.xxhash64(w).bitwiseAND(F.lit((1 << 63) - 1))),
-    )
-    return let(F.sort_array(F.array_distinct(hashed)), of)
+    def bits(s: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for at in range(64):
+            count = F.shiftrightunsigned(s["sums"][f"c{at % 32}"], at // 32 * 32).bitwiseAND(F.lit((1 << 32) - 1))
+            bit = F.lit(1 << at if at < 63 else -(1 << 63))
+            out = out.bitwiseOR(F.when(count * 2 > s["all"], bit).otherwise(F.lit(0).cast("long")))
+        return out
 
+    total = F.aggregate(parts, F.lit(0), lambda n, p: n + F.size(p))
+    return let(F.struct(F.aggregate(parts, zero(32), widen).alias("sums"), total.alias("all")), bits)
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+def signature(norm: Column) -> Column:
+    """struct of the SimHash and the keys of a normalised line."""
+    sim = let(F.transform(segments(norm, SHORT), lambda s: pieces(s, SHORT)), simhash)
+    hashes = F.flatten(F.transform(segments(norm, LONG), lambda s: pieces(s, LONG)))
+    keys = F.transform(F.slice(F.sort_array(F.array_distinct(hashes)), 1, KEYS), lambda h: F.shiftright(F.shiftleft(h, 32), 32).cast("int"))
+    return F.struct(sim.alias("sim"), keys.alias("keys"))
 
 
 def lines(docs: DataFrame, shortest: int) -> DataFrame:
-    """row, pos, digest, n, sim, a0, a1 of lines of ``shortest`` normalised characters or more.
+    """row, pos, digest, n, sim, keys of lines of ``shortest`` normalised characters or more.
 
     All is done in one expression on the array of lines, so nothing is computed twice."""
 
@@ -99,36 +106,35 @@ def lines(docs: DataFrame, shortest: int) -> DataFrame:
         return let(normal(line), of)
 
     found = F.filter(F.transform(F.split("text", "\n", -1), entry), lambda x: x.isNotNull())
-    rows = numbered(docs.select("text")).select(F.col("__row").alias("row"), F.explode(found).alias("l"))
-    return rows.select("row", "l.pos", "l.digest", "l.n", "l.s.sim", "l.s.a0", "l.s.a1")
+    rows = docs.select(F.col("__row").alias("row"), F.explode(found).alias("l"))
+    return rows.select("row", "l.pos", "l.digest", "l.n", "l.s.sim", "l.s.keys")
 
 
 def similar(x: str, y: str, similarity: float) -> Column:
-    """Edit similarity of two text columns; the distance is given up beyond what the threshold allows."""
+    """Edit similarity of two text columns; the distance is given up beyond what the threshold allows.  Time
+    grows with the limit, and most near lines are far within it, so a sixteenth of it is tried first."""
     most = f"cast(floor({1 - similarity:.6f} * greatest(length({x}), length({y})) + 1e-6) as int)"
-    return F.expr(f"levenshtein({x}, {y}, {most}) >= 0")
+    return F.expr(f"CASE WHEN levenshtein({x}, {y}, {most} div 16) >= 0 THEN true ELSE levenshtein({x}, {y}, {most}) >= 0 END")
 
 
-def repeated_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20, longest: int = 8192) -> DataFrame:
-    """row and drop: the places, within their row, of lines that another line of their group stands for."""
+def repeated_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20) -> DataFrame:
+    """Of ``docs``, which are ``numbered``, row and drop: the places, within their row, of lines that another line of their group stands for."""
     rows = staged(lines(docs, shortest), "lines")
     distinct = staged(
         rows.groupBy("digest").agg(
             F.min(F.struct("row", "pos")).alias("at"),
             F.count("*").alias("times"),
-            *(F.min(c).alias(c) for c in ("n", "sim", "a0", "a1")),
+            *(F.min(c).alias(c) for c in ("n", "sim", "keys")),
         ),
         "distinct",
     ).withColumn("id", F.monotonically_increasing_id())
-    blocks = [F.xxhash64(f"a{b % 2}", F.lit(b), F.shiftrightunsigned("sim", 8 * b).bitwiseAND(F.lit(255))) for b in range(8)]
-    keys = distinct.where(F.col("n") <= longest).select("id", F.explode(F.array(*blocks)).alias("key"))
+    keys = distinct.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
     codes = distinct.select("id", F.struct("sim", "n").alias("code"))
     buckets = keys.join(shared, "key").join(codes, "id")
 
     def near(a: Column, b: Column) -> Column:
-        # with a fifth of the words changed 13 of 64 bits differ, 20 at two standard errors more
-        return (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= 20) & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]))
+        return (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= CUT) & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (distinct.select(F.col("id").alias(i), F.col("at").alias(f"at{i}")) for i in "xy")
@@ -140,7 +146,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20,
             F.struct(F.split("text", "\n", -1).alias("lines"), F.col("want").alias("want")),
             lambda s: F.transform(s["want"], lambda w: F.struct(w["id"].alias("id"), normal(s["lines"][w["in_pos"]]).alias("norm"))),
         )
-        texts = numbered(docs.select("text")).join(wanted, F.col("__row") == F.col("in_row")).select(F.explode(found).alias("f"))
+        texts = docs.select("__row", "text").join(wanted, F.col("__row") == F.col("in_row")).select(F.explode(found).alias("f"))
         texts = staged(texts.select("f.id", "f.norm"), "texts")
         tx, ty = (texts.select(F.col("id").alias(i), F.col("norm").alias(f"t{i}")) for i in "xy")
         both = placed.select("x", "y").join(tx, "x").join(ty, "y")
@@ -154,14 +160,15 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20,
     return gone.groupBy("row").agg(F.collect_list("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20, longest: int = 8192) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and how many: n_dropped.  Columns other
     than ``text`` are carried as they are."""
-    drops = repeated_lines(docs, similarity, shortest, longest).select(F.col("row").alias("__of"), F.col("drop").alias("__drop"))
+    docs = numbered(docs)
+    drops = repeated_lines(docs, similarity, shortest).select(F.col("row").alias("__of"), F.col("drop").alias("__drop"))
     kept = let(
         F.struct(F.split("text", "\n", -1).alias("lines"), F.col("__drop").alias("drop")),
         lambda s: F.array_join(F.filter(s["lines"], lambda x, i: ~F.array_contains(s["drop"], i)), "\n"),
     )
-    joined = numbered(docs).join(drops, F.col("__row") == F.col("__of"), "left")
+    joined = docs.join(drops, F.col("__row") == F.col("__of"), "left")
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)
     return joined.withColumns({"text": text, "n_dropped": F.coalesce(F.size("__drop"), F.lit(0))}).drop("__row", "__of", "__drop")
