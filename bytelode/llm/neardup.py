@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, checkpointed, staged
+from .common import bounded_broadcast, checkpointed, numbered, staged
 from .components import linked
 from .hashing import mixed, shingle_sets
 
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("doc_id", "text", F.col("__row").alias("row"))
     return rows.mapInArrow(
         run, f"doc_id {kind}, row long, n_shingles long, digest binary, registers binary, bands array<long>, code array<long>"
     )
@@ -178,9 +178,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_class and row for every row of ``docs``; rows are numbered
-    in the order they are read."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, n_shingles, component_id, kept, n_class, row and comp for every row of ``docs``; rows are numbered
+    in the order they are read, if they are not ``numbered`` yet.  comp tells components apart also where ids are null
+    or repeated; it is null without shingles."""
+    if "__row" not in docs.columns:
+        docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    docs = docs.select("doc_id", "text", "__row")
     made = staged(sketches(docs, width), "sketches")
     classes = staged(
         made.where("digest IS NOT NULL")
@@ -206,7 +209,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     ids = classes.select("digest", "rep_id", "n_class").join(comps, classes["digest"] == comps["node"], "left")
     ids = ids.select("digest", "rep_id", "n_class", F.coalesce("comp", "digest").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
-    named = ids.join(least, "comp").select("digest", "component_id", "n_class")
+    named = ids.join(least, "comp").select("digest", "component_id", "n_class", "comp")
     component = F.coalesce("component_id", "doc_id")
     return (
         made.select("doc_id", "row", "n_shingles", "digest")
@@ -218,6 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
             component.eqNullSafe(F.col("doc_id")).alias("kept"),
             F.coalesce("n_class", F.lit(1)).alias("n_class"),
             "row",
+            "comp",
         )
     )
 
@@ -225,9 +229,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but for those that another row of their group stands for: of a group stays
     its least number, of rows with that number the first.  Rows without shingles stay."""
-    found = staged(near_duplicates(docs, width, percent).select("row", "component_id", "kept", "n_shingles"), "groups")
-    stays = found.where("kept AND n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("stays"))
-    gone = found.where("n_shingles > 0").join(stays, found["component_id"].eqNullSafe(stays["component_id"]), "left")
-    gone = checkpointed(gone.where(~F.col("row").eqNullSafe(F.col("stays"))).select(F.col("row").alias("__gone")))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(bounded_broadcast(gone, MOST_SENT), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    docs = numbered(docs)
+    found = staged(near_duplicates(docs, width, percent).where("comp IS NOT NULL").select("comp", "doc_id", "row"), "groups")
+    stays = found.groupBy("comp").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays"))
+    gone = checkpointed(found.join(stays, "comp").where("row <> stays").select(F.col("row").alias("__gone")))
+    return docs.join(bounded_broadcast(gone, MOST_SENT), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

@@ -58,7 +58,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row", "comp")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import random
 
-from bytelode.llm import line_dedup
+import corpus_pipeline
+from bytelode.llm import line_dedup, neardup
+
+SF = "/root/testdata/sf0.001"
 
 
 def distance(a, b):
@@ -57,3 +60,17 @@ def test_near_copies_of_long_lines_are_linked(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id long, text string").coalesce(1)
     assert len(" ".join(words)) > 8192
     assert [r["n_dropped"] for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_stages_tell_rows_with_null_or_equal_ids_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    ids = [(None, 1), (None, 2), (7, 3), (7, 4), (7, 4), (5, 5), (None, 5)]
+    rows = [(i, text(k), "en", "s", None) for i, k in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = neardup.keep_one(df).collect()
+    assert sorted(r["text"] for r in left) == sorted(text(k) for k in range(1, 6))
+    assert [r["doc_id"] for r in left if r["text"] == text(5)] == [5]
+    leaked = spark.createDataFrame([(i, item, "en", "s", None) for i in (None, 7)], df.schema)
+    clean = corpus_pipeline.decontaminate(spark, df.unionByName(leaked), SF).collect()
+    assert sorted(r["text"] for r in clean) == sorted(r[1] for r in rows)
