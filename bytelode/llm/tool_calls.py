@@ -58,10 +58,10 @@ def canonical(value: Any) -> str:
 
 
 def embedded_calls(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, call_id, name, arguments, depends_on of calls logged as JSON in assistant turns."""
+    """conv_id, turn, position, call_id, name, arguments, depends_on of calls logged as JSON in assistant turns."""
     found = turns.where("role = 'assistant' AND text LIKE '%\"tool_calls\"%'").select("conv_id", "turn", F.from_json("text", EMBEDDED).alias("j"))
-    found = found.select("conv_id", "turn", F.explode("j.tool_calls").alias("c"))
-    return found.select("conv_id", "turn", F.col("c.id").alias("call_id"), "c.name", "c.arguments", "c.depends_on")
+    found = found.select("conv_id", "turn", F.posexplode("j.tool_calls").alias("position", "c"))
+    return found.select("conv_id", "turn", "position", F.col("c.id").alias("call_id"), "c.name", "c.arguments", "c.depends_on")
 
 
 def embedded_results(turns: DataFrame) -> DataFrame:
@@ -95,11 +95,13 @@ def levels(calls: DataFrame) -> DataFrame:
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per call and result: conv_id, level, place, kind (0 call, 1 result), turn, call_id, linked,
     status (ok, pending, orphan, duplicate, invalid), errors and json."""
-    first = calls.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
+    first = calls.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(
+        F.min("turn").alias("call_turn"), F.min_by("position", F.struct(F.col("turn").isNull(), "turn", "position")).alias("call_position")
+    )
     first = first.join(levels(calls), ["conv_id", "call_id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
     answered = results.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.lit(True).alias("answered"))
     known = calls.join(first, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
-    kept = F.col("call_turn").eqNullSafe(F.col("turn"))
+    kept = F.col("call_turn").eqNullSafe(F.col("turn")) & F.col("call_position").eqNullSafe(F.col("position"))
     rows = known.select(
         "conv_id", F.coalesce("level", F.lit(0)).alias("level"), F.col("turn").alias("place"), F.lit(0).alias("kind"), "turn", "call_id",
         (kept & F.col("answered").isNotNull()).alias("linked"),
@@ -147,7 +149,7 @@ def replies_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every user turn as a call of the tool ``reply`` and the assistant turn after it as its result."""
     named = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     users = turns.where("role = 'user'").select(
-        "conv_id", "turn", named(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("text")).alias("arguments"), F.array().cast("array<string>").alias("depends_on")
+        "conv_id", "turn", F.lit(0).alias("position"), named(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("text")).alias("arguments"), F.array().cast("array<string>").alias("depends_on")
     )
     replies = turns.where("role = 'assistant'").select("conv_id", "turn", named(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return users, replies

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from bytelode.llm import line_dedup, neardup
+from bytelode.llm import line_dedup, neardup, tool_calls
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,13 @@ def test_stages_tell_rows_with_null_or_equal_ids_apart(spark):
     leaked = spark.createDataFrame([(i, item, "en", "s", None) for i in (None, 7)], df.schema)
     clean = corpus_pipeline.decontaminate(spark, df.unionByName(leaked), SF).collect()
     assert sorted(r["text"] for r in clean) == sorted(r[1] for r in rows)
+
+
+def test_of_calls_of_one_turn_the_first_is_linked(spark):
+    turns = [
+        (1, 0, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":{"x":2}},{"id":"a","name":"f","arguments":{"x":1}}]}'),
+        (1, 1, "tool", '{"tool_call_id":"a","content":"3"}'),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = tool_calls.link(tool_calls.embedded_calls(df), tool_calls.embedded_results(df), {"f": {}}).where("kind = 0").collect()
+    assert {(r["json"][13:20], r["linked"], r["status"]) for r in rows} == {('{"x":2}', True, "ok"), ('{"x":1}', False, "duplicate")}
