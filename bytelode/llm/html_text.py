@@ -3,8 +3,9 @@
 Markup is stripped into lines, one for each block element.  A line weighs its characters outside
 links, or nothing where its elements say that it is no article text (navigation, forms, adverts,
 comments and so on, by tag, role or class).  Sums of weights over a sliding window of lines make the
-distribution; it surges where the article begins and dives where it ends, and the lines between are kept.  An
-element that names the article bounds the search, so a surge of one character is enough inside it.
+distribution; it surges where the article begins and dives where it ends, and the lines between are kept.
+Elements that name the article bound the search where they weigh as much as any run outside them: there a
+surge of one character is enough.  All of them that weigh a quarter of the heaviest are joined.
 
 Nulls: a null or empty page gives an empty text; ``page_id`` and ``url`` are carried as they are.  Pages are
 independent rows, whole and of any length; an empty table gives no rows."""
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -62,7 +64,7 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Line(NamedTuple):
     text: str
     weight: int  # characters outside links; 0 for what is no article text, -1 for links alone
-    holder: tuple[int, int]  # rank and number of the element that holds the article here
+    holder: tuple[int, ...]  # rank, number and then the numbers of outer ones, of the element that holds the article here
 
 
 def _named(names: str) -> bool:
@@ -107,7 +109,7 @@ def lines(page: str) -> list[Line]:
     """One line per block with text.  Within a holder only one of higher rank begins another: an
     ``article`` ranks above named elements, those above ``main``."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, tuple[int, int]]] = []  # tag, no article text, holder
+    stack: list[tuple[str, bool, tuple[int, ...]]] = []  # tag, no article text, holder
     buffer: list[str] = []
     state = {"dropped": 0, "link": 0, "linked": 0, "holders": 0}
 
@@ -177,7 +179,7 @@ def lines(page: str) -> list[Line]:
                     state["dropped"] -= 1
         if holds > holder[0]:
             state["holders"] += 1
-            holder = (holds, state["holders"])
+            holder = (holds, state["holders"], *(holder[1:] if holder[0] else ()))
         stack.append((tag, dropped, holder))
         state["dropped"] += dropped
         state["link"] += tag == "a"
@@ -193,7 +195,8 @@ def spans(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
     """Runs of lines from a surge point, where the sum over the next ``window`` lines first exceeds
     ``surge``, to the dive point, where it falls to nothing."""
     n = len(weights)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
+    before = [0, *accumulate(weights)]
+    sums = [before[min(n, i + window)] - before[i] for i in range(n)]
     out, start = [], None
     for i in range(n + 1):
         if start is None and i < n and weights[i] > 0 and sums[i] > surge:
@@ -207,19 +210,45 @@ def spans(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
     return out
 
 
+def bounds(found: list[Line]) -> set[int]:
+    """Lines inside the elements that hold the article.  The outermost are taken; one whose inner holders
+    have half of its weight is narrowed to them, and those of less than a quarter of the heaviest go."""
+    size: dict[int, int] = {}
+    inner: dict[int, set[int]] = {}
+    for x in found:
+        chain = x.holder[1:] if x.holder[0] else ()
+        for k, h in enumerate(chain):
+            size[h] = size.get(h, 0) + max(x.weight, 0)
+            inner.setdefault(chain[k + 1] if k + 1 < len(chain) else 0, set()).add(h)
+
+    def belonging(outer: int) -> set[int]:
+        some = inner.get(outer, set())
+        most = max((size[h] for h in some), default=0)
+        return {h for h in some if size[h] and size[h] * 4 >= most}
+
+    taken, left = set(), belonging(0)
+    while left:
+        h = left.pop()
+        some = belonging(h)
+        if some and 2 * sum(size[x] for x in some) >= size[h]:
+            left |= some
+        else:
+            taken.add(h)
+    return {i for i, x in enumerate(found) if x.holder[0] and not taken.isdisjoint(x.holder[1:])}
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     found = lines(page) if page else []
-    by_holder: dict[tuple[int, int], int] = {}
-    for line in found:
-        if line.holder[0] and line.weight > 0:
-            by_holder[line.holder] = by_holder.get(line.holder, 0) + line.weight
-    if by_holder:
-        best = max(by_holder, key=lambda h: (h[0], by_holder[h], -h[1]))
-        inside = [x for x in found if x.holder == best]
-        menu = _menus(inside)
-        weights = [0 if not x.weight or k in menu else max(x.weight, 1) for k, x in enumerate(inside)]
-        return " ".join(inside[i].text for a, b in spans(weights, len(inside), 0) for i in range(a, b) if weights[i])
-    weights = [max(x.weight, 0) for x in found]
+    held = sorted(bounds(found))
+    inside, weights = [0] * len(found), [max(x.weight, 0) for x in found]
+    outside = list(weights)
+    menu = _menus([found[i] for i in held])
+    for k, i in enumerate(held):
+        inside[i] = 0 if not found[i].weight or k in menu else max(found[i].weight, 1)
+        outside[i] = 0
+    rivals = [sum(outside[a:b]) for a, b in spans(outside, window, surge)]
+    if sum(inside) and sum(inside) >= max(rivals, default=0):
+        return " ".join(found[i].text for a, b in spans(inside, window, 0) for i in range(a, b) if inside[i])
     runs = spans(weights, window, surge) or spans(weights, window, 0)
     if not runs:
         return ""

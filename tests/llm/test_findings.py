@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from bytelode.llm import line_dedup, neardup, tool_calls
+from bytelode.llm import html_text, line_dedup, neardup, tool_calls
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +86,21 @@ def test_of_calls_of_one_turn_the_first_is_linked(spark):
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     rows = tool_calls.link(tool_calls.embedded_calls(df), tool_calls.embedded_results(df), {"f": {}}).where("kind = 0").collect()
     assert {(r["json"][13:20], r["linked"], r["status"]) for r in rows} == {('{"x":2}', True, "ok"), ('{"x":1}', False, "duplicate")}
+
+
+BODY, PART = ("A sentence of the article. " * 9).strip(), ("The second part goes on. " * 5).strip()
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<div class='post-content'><p>{BODY}</p></div><article><p>teaser</p></article>", BODY),
+        (f"<article><p>{BODY}</p></article><article><p>{PART}</p></article>", f"{BODY} {PART}"),
+        (f"<div class='entry-content'>{PART}</div><div class='entry-content'>{BODY}</div>", f"{PART} {BODY}"),
+        (f"<main><h1>Head</h1><p>{BODY}</p><article>teaser</article></main>", f"Head {BODY} teaser"),
+        (f"<article>teaser</article><nav>x</nav><nav>x</nav><nav>x</nav><div><p>{BODY}</p><p>{PART}</p></div>", f"{BODY} {PART}"),
+        (f"<main><article><p>{BODY}</p></article><p>more</p></main>", BODY),
+    ],
+)
+def test_holders_are_hints(page, text):
+    assert html_text.main_text(page) == text
