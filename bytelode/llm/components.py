@@ -11,6 +11,8 @@ from .common import checkpointed, staged
 
 #: Edges a task takes.
 PER_TASK = 500_000
+#: Pairs left for each row of the open buckets that are compared bucket by bucket.
+FEW = 4
 
 
 def _with_least(pairs: DataFrame, tasks: int) -> DataFrame:
@@ -55,7 +57,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def linked(
-    buckets: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], most_rounds: int = 4
+    buckets: DataFrame,
+    near: Callable[[Column, Column], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    rest: Callable[[DataFrame], DataFrame] | None = None,
+    most_rounds: int = 3,
 ) -> DataFrame:
     """Components (node, comp) of the verified links between ids that share a bucket (key, id, code).
 
@@ -65,12 +71,13 @@ def linked(
     Every id of a bucket is first compared with a pivot of it; ids already known to be connected
     need no comparison, so a bucket of n alike ids costs n comparisons, not n squared.  The first pivot is
     the id whose buckets hold the most rows: what a group was copied from shares most with all others.
-    This is repeated with other pivots while buckets still hold many pairs of unconnected ids; then all such pairs are
-    compared, so every link between components is found.  ``verify`` takes distinct pairs (x, y), x < y,
-    and returns those that hold, as a written table (u, v)."""
+    This is repeated with other pivots while buckets still hold more than ``FEW`` pairs of unconnected ids a row.
+    Then every pair that is left is compared: bucket by bucket where they are so few, else those that
+    ``rest`` finds among the ids that are left (id, comp); it must find all pairs that ``verify`` holds.
+    ``verify`` takes distinct pairs (x, y), x < y, and returns those that hold, as a written table (u, v)."""
     links = comps = None
     buckets = _weighed(buckets)
-    for turn in range(most_rounds):
+    for turn in range(most_rounds + 1):
         last = False
         if comps is None:
             rows = buckets.withColumn("comp", F.col("id"))
@@ -79,8 +86,11 @@ def linked(
             n, left = _left(rows)
             if not n:
                 break
-            last = turn == most_rounds - 1 or left <= 8 * n
-        if last:
+            few = left <= FEW * n
+            last = few or turn == most_rounds
+        if last and rest is not None and not few:
+            pairs = rest(checkpointed(rows.select("id", "comp").distinct()))
+        elif last:
             a, b = (rows.select("key", *(F.col(c).alias(s + i) for c, s in (("id", "i"), ("comp", "c"), ("code", "e")))) for i in "xy")
             pairs = a.join(b, "key").where("ix < iy AND cx <> cy").where(near(F.col("ex"), F.col("ey"))).select(F.col("ix").alias("x"), F.col("iy").alias("y"))
         else:

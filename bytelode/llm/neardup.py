@@ -12,8 +12,9 @@ the bands, so that pairs sharing a band and little else are dropped inside the j
 
 Documents with equal shingle sets are one class and compared once.  Within a bucket every class
 meets pivots first; classes already known to be connected need no further comparison, so a group of n
-near copies costs about n comparisons.  What remains unconnected in a bucket is compared pair by pair,
-so no link between different texts is lost.
+near copies costs about n comparisons.  Pairs that remain unconnected are compared bucket by bucket where they are
+few, else found by an exact prefix filter on the shingles that are rarest among the open sets, so no link between
+different texts is lost and no group is compared pair by pair.
 
 Nulls: a null or empty text has no shingle and no link; a null ``doc_id`` is carried and takes the
 least number of its component.  Repeated rows fall into one class.  An empty table gives no rows."""
@@ -177,6 +178,41 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(run, "u binary, v binary")
 
 
+def _sharing_rare(open_: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of ``open_`` (id, comp, rep_id, code) of different components that can reach ``percent``.
+
+    Prefix filter: the shingles of each set are ordered from the rarest among the open sets on.  Sets that
+    share enough have their first common shingle so early in both that enough of each set is left from there on;
+    only pairs that meet at such places, given both sizes, become rows.  Exact, and where a group's members differ from one another in
+    shingles of their own, as copies with edits do, few pairs are left whatever the size of the group."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                cut = b.slice(lo, 200)
+                ids, texts = cut.column(0), cut.column(1).to_pylist()
+                own = cut.column(0).to_pylist()
+                # a doc_id that stands for several texts is fetched with each of them
+                sets = [g if len(g) and _digest(g) == d else g[:0] for g, d in zip(shingle_sets(texts, width), own)]
+                at = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+                grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                sizes = np.repeat([len(g) for g in sets], [len(g) for g in sets]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sizes), pa.array(grams.view(np.int64))], names=["id", "size", "gram"])
+
+    texts = open_.select("id", "rep_id").join(docs.select("doc_id", "text"), docs["doc_id"].eqNullSafe(open_["rep_id"])).select("id", "text")
+    grams = staged(texts.mapInArrow(run, "id binary, size int, gram long").distinct(), "grams")
+    rare = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = grams.join(rare, "gram").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    first = F.slice("g", F.lit(1), F.col("size") - F.ceil(percent * F.col("size") / 100).cast("int") + 1)
+    placed = ranked.select("id", "size", F.posexplode(first).alias("pos", "g")).where("g.df > 1")
+    placed = staged(placed.join(open_.select("id", "comp", "code"), "id").select("id", "size", "comp", "code", "pos", F.col("g.gram").alias("gram")), "prefixes")
+    x, y = (placed.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "comp", "code", "pos"))) for s in "xy")
+    left = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))
+    both = x.join(y, "gram").where("id_x < id_y AND comp_x <> comp_y").where(left * (100 + percent) >= percent * (F.col("size_x") + F.col("size_y")))
+    both = both.where(maybe_near(F.col("code_x"), F.col("code_y"), percent / 100))
+    return both.select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_class, row and comp for every row of ``docs``; rows are numbered
     in the order they are read, if they are not ``numbered`` yet.  comp tells components apart also where ids are null
@@ -205,7 +241,10 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     def verify(pairs: DataFrame) -> DataFrame:
         return checkpointed(_confirmed(checkpointed(_promising(pairs, classes, percent / 100)), docs, width, percent))
 
-    comps = linked(buckets, lambda a, b: maybe_near(a, b, percent / 100), verify)
+    def rest(open_: DataFrame) -> DataFrame:
+        return _sharing_rare(open_.join(classes.select(F.col("digest").alias("id"), "rep_id", "code"), "id"), docs, width, percent)
+
+    comps = linked(buckets, lambda a, b: maybe_near(a, b, percent / 100), verify, rest)
     ids = classes.select("digest", "rep_id", "n_class").join(comps, classes["digest"] == comps["node"], "left")
     ids = ids.select("digest", "rep_id", "n_class", F.coalesce("comp", "digest").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
