@@ -11,8 +11,8 @@ from .common import checkpointed, staged
 
 #: Edges a task takes.
 PER_TASK = 500_000
-#: Pairs left for each row of the open buckets that are compared bucket by bucket.
-FEW = 4
+#: Pairs for each row that a bucket may hold to be compared pair by pair.
+FEW = 8
 
 
 def _with_least(pairs: DataFrame, tasks: int) -> DataFrame:
@@ -71,41 +71,50 @@ def linked(
     Every id of a bucket is first compared with a pivot of it; ids already known to be connected
     need no comparison, so a bucket of n alike ids costs n comparisons, not n squared.  The first pivot is
     the id whose buckets hold the most rows: what a group was copied from shares most with all others.
-    This is repeated with other pivots while buckets still hold more than ``FEW`` pairs of unconnected ids a row.
-    Then every pair that is left is compared: bucket by bucket where they are so few, else those that
-    ``rest`` finds among the ids that are left (id, comp); it must find all pairs that ``verify`` holds.
-    ``verify`` takes distinct pairs (x, y), x < y, and returns those that hold, as a written table (u, v)."""
-    links = comps = None
-    buckets = _weighed(buckets)
-    for turn in range(most_rounds + 1):
-        last = False
-        if comps is None:
-            rows = buckets.withColumn("comp", F.col("id"))
-        else:
-            rows = checkpointed(_open(buckets, comps))
-            n, left = _left(rows)
-            if not n:
-                break
-            few = left <= FEW * n
-            last = few or turn == most_rounds
-        if last and rest is not None and not few:
-            pairs = rest(checkpointed(rows.select("id", "comp").distinct()))
-        elif last:
-            a, b = (rows.select("key", *(F.col(c).alias(s + i) for c, s in (("id", "i"), ("comp", "c"), ("code", "e")))) for i in "xy")
-            pairs = a.join(b, "key").where("ix < iy AND cx <> cy").where(near(F.col("ex"), F.col("ey"))).select(F.col("ix").alias("x"), F.col("iy").alias("y"))
-        else:
-            order = F.struct(F.when(F.lit(turn) == 0, -F.col("weight")), F.xxhash64("id", F.pmod("key", F.lit(3)), F.lit(turn)))
-            pivots = rows.groupBy("key").agg(F.min_by(F.struct("id", "comp", "code"), order).alias("p"))
-            pairs = rows.join(pivots, "key").where("comp <> p.comp").where(near(F.col("code"), F.col("p.code")))
-            pairs = pairs.select(F.least("id", "p.id").alias("x"), F.greatest("id", "p.id").alias("y"))
-        found = verify(pairs.select("x", "y").distinct())
-        links = found if links is None else links.unionByName(found)
+    Buckets that then hold at most ``FEW`` pairs of unconnected ids for each of their rows are compared pair by pair;
+    the others meet further pivots, and what is left of them after ``most_rounds`` is given to ``rest``: it finds the pairs among
+    ids (id, comp), all that ``verify`` can hold, without going through buckets.  (Without ``rest`` they are compared
+    pair by pair.)  ``verify`` takes distinct pairs (x, y), x < y, and returns those that hold, as a written table (u, v)."""
+    rows = _weighed(buckets)
+    found = verify(_with_pivots(rows.withColumn("comp", F.col("id")), 0, near).distinct())
+    links, comps = found, checkpointed(components(found))
+    for turn in range(1, most_rounds + 1):
+        rows = checkpointed(_open(rows, comps))
+        some = rows.where("few")
+        many = rows.where("NOT few")
+        left = many.limit(1).count()
+        if not left and not some.limit(1).count():
+            break
+        last = not left or turn == most_rounds
+        pairs = _in_buckets(some if rest is not None or not last else rows, near)
+        if left and not last:
+            pairs = pairs.unionByName(_with_pivots(many, turn, near))
+        elif left and rest is not None:
+            pairs = pairs.unionByName(rest(checkpointed(many.select("id", "comp").distinct())))
+        found = verify(pairs.distinct())
+        links = links.unionByName(found)
         comps = checkpointed(components(links))
         if last:
             break
+        rows = many
     return comps
 
 
+def _with_pivots(rows: DataFrame, turn: int, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (x, y) of the ids of each bucket with one of them."""
+    order = F.struct(F.when(F.lit(turn) == 0, -F.col("weight")), F.xxhash64("id", F.pmod("key", F.lit(3)), F.lit(turn)))
+    pivots = rows.groupBy("key").agg(F.min_by(F.struct("id", "comp", "code"), order).alias("p"))
+    pairs = rows.join(pivots, "key").where("comp <> p.comp").where(near(F.col("code"), F.col("p.code")))
+    return pairs.select(F.least("id", "p.id").alias("x"), F.greatest("id", "p.id").alias("y"))
+
+
+def _in_buckets(rows: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (x, y) of the unconnected ids of each bucket."""
+    a, b = (rows.select("key", *(F.col(c).alias(s + i) for c, s in (("id", "i"), ("comp", "c"), ("code", "e")))) for i in "xy")
+    pairs = a.join(b, "key").where("ix < iy AND cx <> cy").where(near(F.col("ex"), F.col("ey")))
+    return pairs.select(F.col("ix").alias("x"), F.col("iy").alias("y"))
+
+
 def _weighed(buckets: DataFrame) -> DataFrame:
     """``buckets`` with weight, the rows in all buckets of the id, as a written table."""
     buckets = staged(buckets, "buckets")
@@ -114,17 +123,12 @@ def _weighed(buckets: DataFrame) -> DataFrame:
     return staged(buckets.join(weights, "id"), "weighed")
 
 
-def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows of buckets whose ids are in more than one component."""
-    rows = buckets.join(comps, buckets["id"] == comps["node"], "left").select("key", "id", "code", "weight", F.coalesce("comp", "id").alias("comp"))
-    several = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    return rows.join(several, "key")
-
-
-def _left(rows: DataFrame) -> tuple[int, int]:
-    """Rows in open buckets, and pairs there between different components."""
+def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` of buckets whose ids are in more than one component, with comp and few: whether the bucket holds
+    at most ``FEW`` pairs of different components for each row."""
+    rows = rows.select("key", "id", "code", "weight").join(comps, F.col("id") == comps["node"], "left")
+    rows = rows.select("key", "id", "code", "weight", F.coalesce("comp", "id").alias("comp"))
     n, q = F.col("n"), F.col("q")
-    by = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    by = by.groupBy("key").agg(F.sum("n").alias("n"), F.sum(n * n).alias("q"))
-    rows_left, pairs = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((n * n - q) / 2), F.lit(0))).first()
-    return rows_left, int(pairs)
+    by = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(n * n).alias("q"))
+    several = by.where("q < n * n").select("key", (n * n - q <= 2 * FEW * n).alias("few"))
+    return rows.join(several, "key")

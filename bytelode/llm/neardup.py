@@ -189,23 +189,23 @@ def _sharing_rare(open_: DataFrame, docs: DataFrame, width: int, percent: int) -
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 200):
-                cut = b.slice(lo, 200)
-                ids, texts = cut.column(0), cut.column(1).to_pylist()
-                own = cut.column(0).to_pylist()
+                no, own, texts = (c.to_pylist() for c in b.slice(lo, 200).columns)
                 # a doc_id that stands for several texts is fetched with each of them
                 sets = [g if len(g) and _digest(g) == d else g[:0] for g, d in zip(shingle_sets(texts, width), own)]
-                at = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
-                grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                sizes = np.repeat([len(g) for g in sets], [len(g) for g in sets]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sizes), pa.array(grams.view(np.int64))], names=["id", "size", "gram"])
-
-    texts = open_.select("id", "rep_id").join(docs.select("doc_id", "text"), docs["doc_id"].eqNullSafe(open_["rep_id"])).select("id", "text")
-    grams = staged(texts.mapInArrow(run, "id binary, size int, gram long").distinct(), "grams")
+                sizes = [len(g) for g in sets]
+                columns = np.repeat(np.array(no, np.int64), sizes), np.repeat(np.array(sizes, np.int32), sizes), np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["no", "size", "gram"])
+
+    open_ = staged(open_.withColumn("no", F.monotonically_increasing_id()), "open")
+    ids = bounded_broadcast(open_.select("no", "id", "rep_id"), MOST_SENT // 10)
+    texts = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(F.col("rep_id"))).select("no", "id", "text")
+    grams = staged(texts.mapInArrow(run, "no long, size int, gram long").distinct(), "grams")
+    # a shingle of one set alone makes the prefix shorter but no pair
     rare = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = grams.join(rare, "gram").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    ranked = grams.join(rare, "gram").groupBy("no", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
     first = F.slice("g", F.lit(1), F.col("size") - F.ceil(percent * F.col("size") / 100).cast("int") + 1)
-    placed = ranked.select("id", "size", F.posexplode(first).alias("pos", "g")).where("g.df > 1")
-    placed = staged(placed.join(open_.select("id", "comp", "code"), "id").select("id", "size", "comp", "code", "pos", F.col("g.gram").alias("gram")), "prefixes")
+    placed = ranked.select("no", "size", F.posexplode(first).alias("pos", "g")).where("g.df > 1")
+    placed = staged(placed.join(open_.select("no", "id", "comp", "code"), "no").select("id", "size", "comp", "code", "pos", F.col("g.gram").alias("gram")), "prefixes")
     x, y = (placed.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "comp", "code", "pos"))) for s in "xy")
     left = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))
     both = x.join(y, "gram").where("id_x < id_y AND comp_x <> comp_y").where(left * (100 + percent) >= percent * (F.col("size_x") + F.col("size_y")))
