@@ -1,20 +1,20 @@
 """Fuzzy line deduplication with SimHash, in DataFrame functions alone (operator 2).
 
-Lines are normalised to lower-case letters and digits (all digits alike).  Of a distinct line all pieces
-of 12 characters are hashed; those of the 16 least hashes are its keys, and lines that share a key are
-candidates.  A piece outlives every edit that does not touch it, wherever in the line it stands, so it does
-not matter in which words the edits are.  Of candidates are put aside those whose lengths rule the similarity
-out and those whose 64-bit SimHashes, of all pieces of four characters of the whole line, differ in more than
-``CUT`` bits.  The others are confirmed by edit distance on the whole lines, whatever their length, and of
-each connected group the first occurrence stays.
+Lines are normalised to lower-case letters and digits (all digits alike).  A distinct line is cut into pieces
+of 12 characters, one from each word on, and those of at most ``FULL`` characters from each character on; the pieces of
+the least hashes are its keys, and lines that share a key are candidates.  A piece outlives every edit that does not
+touch it, as the blocks of a pigeonhole argument do, wherever in the line it stands.  Of candidates are put aside
+those whose lengths rule the similarity out and those whose 63-bit SimHashes, of all words of the whole line, differ
+in more than ``CUT`` bits (``CUT_LONG`` for long ones).  The others are confirmed by edit distance on the whole lines, whatever their length,
+and of each connected group the first occurrence stays.
 
 Neither keys nor SimHash promise an edit similarity: how many pairs at the threshold are found is held
 against brute force in the tests and given in the README.
 
 Lines of less than ``shortest`` normalised characters stay as they are: too little to tell them apart.
 
-Nulls: a null text has no lines and stays null.  Repeated rows are told apart by their place, which is
-written once, so one of them keeps the line."""
+Nulls: a null text has no lines and stays null, an empty one stays empty.  Repeated rows are told apart by their
+place, which is written once, so one of them keeps the line.  A table without rows gives none."""
 
 from __future__ import annotations
 
@@ -26,13 +26,17 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, checkpointed, numbered, staged
 from .components import linked
 
-MOST_SENT = 1_000_000
-#: Characters of the pieces whose least hashes are keys, and how many; characters of those in the SimHash.
-LONG, KEYS, SHORT = 12, 16, 4
-#: Bits in which the SimHashes of candidates differ at most.
-CUT = 26
-#: Pieces taken from a line at a time; seven bits count them.
-SEGMENT = 120
+#: Pairs of lines whose distance a task takes.
+PER_TASK = 2000
+#: Line numbers that are sent to all tasks at most; above, texts are shuffled.
+MOST_SENT = 200_000
+#: Characters of a piece; least hashes taken of those from each word and from each character on; longest line with the latter.
+LONG, KEYS, MORE, FULL = 12, 12, 16, 160
+#: Bits in which the SimHashes of candidates differ at most; less for lines of more than ``FULL`` characters, which have words enough for
+#: typos in half of them to be more edits than the similarity allows.
+CUT, CUT_LONG = 26, 20
+#: Counters of SimHash bits: three of 21 bits in a long.
+LANE, LANES = 21, 3
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -40,134 +44,104 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def normal(line: Column) -> Column:
-    plain = F.regexp_replace(F.lower(line), r"\p{N}", "0")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}0]+", " "))
+def normal(text: Column) -> Column:
+    """Lower-case letters, digits as 0, and single spaces; the lines of ``text`` stay lines."""
+    plain = F.regexp_replace(F.lower(text), r"\p{N}", "0")
+    return F.regexp_replace(plain, r"[^\p{L}0\n]+", " ")
 
 
-def pieces(segment: Column, width: int) -> Column:
-    """Hashes of the pieces of ``width`` characters that begin in the first ``SEGMENT`` ones."""
-    last = F.greatest(F.lit(1), F.least(F.lit(SEGMENT), F.length(segment) - (width - 1)))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(segment, i, F.lit(width))))
+def least(pieces: Column, n: int) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))), 1, n)
 
 
-def segments(norm: Column, width: int) -> Column:
-    """``norm`` in parts whose first ``SEGMENT`` characters begin its pieces of ``width``: positions in
-    a long text are far to count to."""
-    last = F.greatest(F.lit(0), F.floor((F.length(norm) - width) / SEGMENT).cast("int"))
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(norm, k * SEGMENT + 1, F.lit(SEGMENT + width - 1)))
-
-
-def simhash(parts: Column) -> Column:
-    """Bits set in over half of the hashes in ``parts``, arrays of at most 127.  Eight counters of a byte share a
-    long, so one add counts eight bits of a hash; the sums over the parts have 32 bits each."""
-    bytes_, halves = (F.lit(sum(1 << step * k for k in range(64 // step))) for step in (8, 32))
-    zero = lambda n: F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(n)))
-
-    def add(acc: Column, h: Column) -> Column:
-        return F.struct(*((acc[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(bytes_)).alias(f"c{i}") for i in range(8)))
-
-    def widen(acc: Column, part: Column) -> Column:
-        def of(c: Column) -> Column:
-            return F.struct(*((acc[f"c{8 * k + i}"] + F.shiftrightunsigned(c[f"c{i}"], 8 * k).bitwiseAND(halves * 255)).alias(f"c{8 * k + i}") for k in range(4) for i in range(8)))
-
-        return let(F.aggregate(part, zero(8), add), of)
-
-    def bits(s: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for at in range(64):
-            count = F.shiftrightunsigned(s["sums"][f"c{at % 32}"], at // 32 * 32).bitwiseAND(F.lit((1 << 32) - 1))
-            bit = F.lit(1 << at if at < 63 else -(1 << 63))
-            out = out.bitwiseOR(F.when(count * 2 > s["all"], bit).otherwise(F.lit(0).cast("long")))
-        return out
-
-    total = F.aggregate(parts, F.lit(0), lambda n, p: n + F.size(p))
-    return let(F.struct(F.aggregate(parts, zero(32), widen).alias("sums"), total.alias("all")), bits)
-
-
-def signature(norm: Column) -> Column:
-    """struct of the SimHash and the keys of a normalised line."""
-    sim = let(F.transform(segments(norm, SHORT), lambda s: pieces(s, SHORT)), simhash)
-    hashes = F.flatten(F.transform(segments(norm, LONG), lambda s: pieces(s, LONG)))
-    keys = F.transform(F.slice(F.sort_array(F.array_distinct(hashes)), 1, KEYS), lambda h: F.shiftright(F.shiftleft(h, 32), 32).cast("int"))
-    return F.struct(sim.alias("sim"), keys.alias("keys"))
+def keys_of(norm: Column) -> Column:
+    words = least(F.regexp_extract_all(norm, F.lit(f"(?:^| )(?=(.{{{LONG}}}))"), F.lit(1)), KEYS)
+    every = least(F.regexp_extract_all(norm, F.lit(f"(?=(.{{{LONG}}}))"), F.lit(1)), MORE)
+    return F.when(F.length(norm) <= FULL, F.array_union(words, every)).otherwise(words)
 
 
 def lines(docs: DataFrame, shortest: int) -> DataFrame:
-    """row, pos, digest, n, sim, keys of lines of ``shortest`` normalised characters or more.
+    """row, pos, norm, digest, n and keys of lines of ``shortest`` normalised characters or more."""
+    normed = F.transform(F.split(normal(F.col("text")), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("norm")))
+    rows = docs.select(F.col("__row").alias("row"), F.explode(F.filter(normed, lambda x: F.length(x["norm"]) >= shortest)).alias("l"))
+    rows = rows.select("row", "l.pos", "l.norm")
+    return rows.withColumns({"digest": F.unhex(F.md5("norm")), "n": F.length("norm"), "keys": keys_of(F.col("norm"))})
+
 
-    All is done in one expression on the array of lines, so nothing is computed twice."""
+def simhashes(rows: DataFrame) -> DataFrame:
+    """id and sim of lines (id, norm): bits set in over half of the hashes of the words, 63 of them.
 
-    def entry(line: Column, pos: Column) -> Column:
-        def of(norm: Column) -> Column:
-            whole = F.struct(pos.alias("pos"), F.unhex(F.md5(norm)).alias("digest"), F.length(norm).alias("n"), signature(norm).alias("s"))
-            return F.when(F.length(norm) >= shortest, whole)
+    Words are counted in rows of their own, where code is compiled; ``LANES`` counters share a long.  Lines of two
+    million words, which would overflow them, have none and pass for near to any."""
+    ones = F.lit(sum(1 << LANE * k for k in range(LANES)))
+    words = rows.select("id", F.split("norm", " ").alias("w")).where(F.size("w") < 1 << LANE)
+    words = words.select("id", F.explode("w").alias("w")).select("id", F.xxhash64("w").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(ones)).alias(f"c{i}") for i in range(LANE)]
+    counted = words.groupBy("id").agg(F.count("*").alias("all"), *sums)
+    none = F.lit(0).cast("long")
 
-        return let(normal(line), of)
+    def bits(counts: Column, i: Column) -> Column:
+        out = none
+        for k in range(LANES):
+            full = F.shiftrightunsigned(counts, LANE * k).bitwiseAND(F.lit((1 << LANE) - 1)) * 2 > F.col("all")
+            out = out.bitwiseOR(F.when(full, F.lit(1 << LANE * k)).otherwise(none))
+        return F.call_function("shiftleft", out, i)
 
-    found = F.filter(F.transform(F.split("text", "\n", -1), entry), lambda x: x.isNotNull())
-    rows = docs.select(F.col("__row").alias("row"), F.explode(found).alias("l"))
-    return rows.select("row", "l.pos", "l.digest", "l.n", "l.s.sim", "l.s.keys")
+    by_place = F.transform(F.array(*(f"c{i}" for i in range(LANE))), bits)
+    return counted.select("id", F.aggregate(by_place, none, lambda a, x: a.bitwiseOR(x)).alias("sim"))
 
 
 def similar(x: str, y: str, similarity: float) -> Column:
     """Edit similarity of two text columns; the distance is given up beyond what the threshold allows.  Time
-    grows with the limit, and most near lines are far within it, so a sixteenth of it is tried first."""
+    grows with the limit, and most near lines are far within it, so parts of it are tried first.  Lines of more than ``FULL``
+    characters that have less than a third of their words in common, as lines with one phrase in common have, are not tried."""
     most = f"cast(floor({1 - similarity:.6f} * greatest(length({x}), length({y})) + 1e-6) as int)"
-    return F.expr(f"CASE WHEN levenshtein({x}, {y}, {most} div 16) >= 0 THEN true ELSE levenshtein({x}, {y}, {most}) >= 0 END")
+    tried = " ".join(f"WHEN levenshtein({x}, {y}, {most} div {part}) >= 0 THEN true" for part in (16, 4))
+    wx, wy = (f"array_distinct(split({t}, ' '))" for t in (x, y))
+    apart = f"greatest(length({x}), length({y})) > {FULL} AND 3 * size(array_intersect({wx}, {wy})) < least(size({wx}), size({wy}))"
+    return F.expr(f"CASE WHEN {apart} THEN false {tried} ELSE levenshtein({x}, {y}, {most}) >= 0 END")
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20) -> DataFrame:
     """Of ``docs``, which are ``numbered``, row and drop: the places, within their row, of lines that another line of their group stands for."""
-    rows = staged(lines(docs, shortest), "lines")
-    distinct = staged(
-        rows.groupBy("digest").agg(
-            F.min(F.struct("row", "pos")).alias("at"),
-            F.count("*").alias("times"),
-            *(F.min(c).alias(c) for c in ("n", "sim", "keys")),
-        ),
-        "distinct",
-    ).withColumn("id", F.monotonically_increasing_id())
+    rows = staged(lines(docs, shortest).withColumn("id", F.monotonically_increasing_id()), "lines")
+    # a distinct line has the number of its first occurrence, a group that of its first line
+    distinct = staged(rows.groupBy("digest", "n", "keys").agg(F.min("id").alias("id"), F.count("*").alias("times")), "distinct")
     keys = distinct.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    codes = distinct.select("id", F.struct("sim", "n").alias("code"))
+    codes = distinct.select("id", "n").join(simhashes(rows), "id", "left").select("id", F.struct("sim", "n").alias("code"))
     buckets = keys.join(shared, "key").join(codes, "id")
 
     def near(a: Column, b: Column) -> Column:
-        return (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= CUT) & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]))
+        most = F.when(F.greatest(a["n"], b["n"]) <= FULL, CUT).otherwise(CUT_LONG)
+        bits = F.coalesce(F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= most, F.lit(True))
+        return bits & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (distinct.select(F.col("id").alias(i), F.col("at").alias(f"at{i}")) for i in "xy")
-        placed = checkpointed(pairs.join(x, "x").join(y, "y"))
-        places = placed.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("atx").alias("at")), F.struct(F.col("y").alias("id"), F.col("aty").alias("at")))).alias("p"))
-        places = checkpointed(places.select("p.id", F.col("p.at.row").alias("in_row"), F.col("p.at.pos").alias("in_pos")).distinct())
-        wanted = bounded_broadcast(checkpointed(places.groupBy("in_row").agg(F.collect_list(F.struct("in_pos", "id")).alias("want"))), MOST_SENT)
-        found = let(
-            F.struct(F.split("text", "\n", -1).alias("lines"), F.col("want").alias("want")),
-            lambda s: F.transform(s["want"], lambda w: F.struct(w["id"].alias("id"), normal(s["lines"][w["in_pos"]]).alias("norm"))),
-        )
-        texts = docs.select("__row", "text").join(wanted, F.col("__row") == F.col("in_row")).select(F.explode(found).alias("f"))
-        texts = staged(texts.select("f.id", "f.norm"), "texts")
+        pairs = checkpointed(pairs)
+        wanted = checkpointed(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
+        texts = staged(rows.select("id", "norm").join(bounded_broadcast(wanted, MOST_SENT), "id"), "texts")
         tx, ty = (texts.select(F.col("id").alias(i), F.col("norm").alias(f"t{i}")) for i in "xy")
-        both = placed.select("x", "y").join(tx, "x").join(ty, "y")
-        return checkpointed(both.where(similar("tx", "ty", similarity)).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        # rows are small and each takes long: they are dealt out by their number, not by their bytes, and the test of
+        # the task's number keeps the distance from being taken before
+        both = pairs.join(tx, "x").join(ty, "y").repartition(max(8, pairs.count() // PER_TASK)).withColumn("task", F.spark_partition_id())
+        return checkpointed(both.where(similar("tx", "ty", similarity) & (F.col("task") >= 0)).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
     comps = linked(buckets, near, verify)
-    groups = distinct.join(comps, distinct["id"] == comps["node"], "left").select("digest", "at", "times", F.coalesce("comp", "id").alias("comp"))
-    keeper = groups.groupBy("comp").agg(F.min("at").alias("keep"), F.sum("times").alias("all")).where(F.col("all") > 1)
-    stands = groups.join(keeper, "comp").select("digest", "keep")
-    gone = rows.select("row", "pos", "digest").join(stands, "digest").where(F.struct("row", "pos") != F.col("keep"))
+    groups = distinct.join(comps, distinct["id"] == comps["node"], "left").select("digest", "id", "times", F.coalesce("comp", "id").alias("stays"))
+    groups = groups.where("times > 1 OR id <> stays").select("digest", "stays")
+    gone = rows.select("row", "pos", "digest", "id").join(groups, "digest").where("id <> stays")
     return gone.groupBy("row").agg(F.collect_list("pos").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``, and how many: n_dropped.  Columns other
-    than ``text`` are carried as they are."""
-    docs = numbered(docs)
+    """``docs`` with the repeated lines taken out of ``text``, and how many: n_dropped.  Other columns are carried as
+    they are; one of ``docs`` named n_dropped is replaced."""
+    docs = numbered(docs.drop("n_dropped"))
     drops = repeated_lines(docs, similarity, shortest).select(F.col("row").alias("__of"), F.col("drop").alias("__drop"))
     kept = let(
         F.struct(F.split("text", "\n", -1).alias("lines"), F.col("__drop").alias("drop")),
-        lambda s: F.array_join(F.filter(s["lines"], lambda x, i: ~F.array_contains(s["drop"], i)), "\n"),
+        lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["drop"]), lambda i: s["lines"][i]), "\n"),
     )
     joined = docs.join(drops, F.col("__row") == F.col("__of"), "left")
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)
