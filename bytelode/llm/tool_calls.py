@@ -10,11 +10,14 @@ longest chain of dependencies; calls in a cycle get level -1.
 
 Nulls and ties: records without identifier stay unlinked; of several calls with one identifier in a
 conversation the earliest is linked and the others are called duplicates; a result without call is an
-orphan.  Arguments that are not a JSON object are invalid and kept as a string."""
+orphan.  Of equal calls in one turn the first in place is linked.  Arguments that are not a JSON object are invalid;
+those that are no JSON, hold numbers that JSON lacks or are nested too deeply to be read are kept as a string.
+Lone surrogates are written as escapes.  Null arguments are invalid, empty texts no JSON; tables without rows give none."""
 
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 import pyarrow as pa
@@ -53,8 +56,26 @@ def faults(value: Any, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def plain(text: str) -> str:
+    """``text`` with lone surrogates, which UTF-8 lacks, as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return plain(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False))
+
+
+def call_record(call: str | None, name: str | None, body: str | None, schemas: dict[str, dict]) -> tuple[str, list[str]]:
+    """Canonical JSON of a call and what of its arguments breaks the schema."""
+
+    def made(value: Any) -> tuple[str, list[str]]:
+        wrong = faults(value, {"type": "object"} | schemas[name]) if name in schemas else [f"no tool {name}"]
+        return canonical({"arguments": value, "id": call, "name": name}), [plain(w) for w in wrong]
+
+    try:
+        return made(json.loads(body if body is not None else "null"))
+    except (ValueError, RecursionError):
+        return made(body)
 
 
 def embedded_calls(turns: DataFrame) -> DataFrame:
@@ -123,17 +144,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             for kind, call, state, name, body in zip(*(columns[n] for n in ("kind", "call_id", "status", "name", "body"))):
                 wrong: list[str] = []
                 if kind == 0:
-                    try:
-                        value = json.loads(body if body is not None else "null")
-                    except ValueError:
-                        value = body
-                    wrong = faults(value, {"type": "object"} | schemas[name]) if name in schemas else [f"no tool {name}"]
-                    record = {"arguments": value, "id": call, "name": name}
+                    record, wrong = call_record(call, name, body, schemas)
                 else:
-                    record = {"content": body, "tool_call_id": call}
+                    record = canonical({"content": body, "tool_call_id": call})
                 status.append("invalid" if wrong and state in ("ok", "pending") else state)
                 errors.append(wrong)
-                out.append(canonical(record))
+                out.append(record)
             keep = [batch.schema.get_field_index(n) for n in ("conv_id", "level", "place", "kind", "turn", "call_id", "linked")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in keep), pa.array(status, pa.string()), pa.array(errors, pa.list_(pa.string())), pa.array(out, pa.string())],
