@@ -3,12 +3,14 @@
 Markup is stripped into lines, one for each block element.  A line weighs its characters outside
 links, or nothing where its elements say that it is no article text (navigation, forms, adverts,
 comments and so on, by tag, role or class).  Sums of weights over a sliding window of lines make the
-distribution; it surges where the article begins and dives where it ends, and the lines between are kept.
-Elements that name the article bound the search where they weigh as much as any run outside them: there a
-surge of one character is enough.  All of them that weigh a quarter of the heaviest are joined.
+distribution; it surges where the article begins and dives where it ends, and the lines between are kept, of every
+surge.  Names are weights only: lines in elements that are named as the article's get as much more as a surge takes, and
+lines outside weigh nothing then, unless a run of them weighs more than all that is named.
 
-Nulls: a null or empty page gives an empty text; ``page_id`` and ``url`` are carried as they are.  Pages are
-independent rows, whole and of any length; an empty table gives no rows."""
+The scanner passes each page once; quotes and elements that are never closed cost no more than others.
+
+Nulls: a null or empty page gives an empty text; ``page_id`` and ``url`` are carried as they are, ties and repeated
+rows too.  Pages are independent rows, whole and of any length; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -53,11 +55,14 @@ HOLDERS = frozenset(
 RAW = re.compile(r"</(script|style|textarea|title|noscript|template|svg|iframe)\b[^>]*>", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    # a quote without its other half ends with the tag, so every < is read to an end
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:[\"'][^>]*+)?)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NOWHERE = (0, 0)
+#: Elements that end where the next of their sort begins, but for those in an inner one of the others.
+ENDING = {"li": ("ul", "ol"), "td": ("tr", "table"), "tr": ("table",), "dd": ("dl",), "dt": ("dl",)}
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -130,10 +135,22 @@ def lines(page: str) -> list[Line]:
             buffer.clear()
         state["linked"] = 0
 
-    def pop() -> None:
-        tag, dropped, _ = stack.pop()
-        state["dropped"] -= dropped
-        state["link"] -= tag == "a"
+    places: dict[str, list[int]] = {}  # where in the stack each tag is
+    blocks: list[int] = []  # and where elements are that end lines
+    forms: list[int] = []  # and those forms that are no article text
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else -1
+
+    def pop_to(size: int) -> None:
+        while len(stack) > size:
+            tag, dropped, _ = stack.pop()
+            places[tag].pop()
+            for some in (blocks, forms):
+                if some and some[-1] == len(stack):
+                    some.pop()
+            state["dropped"] -= dropped
+            state["link"] -= tag == "a"
 
     at = 0
     while m := TOKEN.search(page, at):
@@ -145,25 +162,18 @@ def lines(page: str) -> list[Line]:
         if m[1]:
             if tag in BLOCKS or tag in DROPPED:
                 end_line()
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+            if last(tag) >= 0:
+                pop_to(last(tag))
             continue
         if tag == "br":
             buffer.append(" ")
             continue
         if tag in BLOCKS or tag in DROPPED:
             end_line()
-            for sort, stops in (("p", BLOCKS), ("li", ("ul", "ol")), ("td", ("tr", "table")), ("tr", ("table",)), ("dd", ("dl",)), ("dt", ("dl",))):
-                if tag == sort or sort == "p":  # such elements end where the next begins
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == sort:
-                            while len(stack) > i:
-                                pop()
-                            break
-                        if stack[i][0] in stops:
-                            break
+            if blocks and stack[blocks[-1]][0] == "p":
+                pop_to(blocks[-1])
+            if last(tag) > max(map(last, ENDING.get(tag, (tag,)))):
+                pop_to(last(tag))
         if tag in VOID:
             continue
         dropped, holds = _element(tag, m[3])
@@ -173,13 +183,18 @@ def lines(page: str) -> list[Line]:
         if tag == "header" and holder == NOWHERE:
             dropped = True  # the page's own; one inside the article holds its heading
         if tag == "article" and holds:  # a form around the whole page does not make the article a form
-            for i, (outer, was, where) in enumerate(stack):
-                if outer == "form" and was:
-                    stack[i] = (outer, False, where)
-                    state["dropped"] -= 1
+            for i in forms:
+                stack[i] = ("form", False, stack[i][2])
+                state["dropped"] -= 1
+            forms.clear()
         if holds > holder[0]:
             state["holders"] += 1
             holder = (holds, state["holders"], *(holder[1:] if holder[0] else ()))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        if tag == "form" and dropped:
+            forms.append(len(stack))
         stack.append((tag, dropped, holder))
         state["dropped"] += dropped
         state["link"] += tag == "a"
@@ -239,23 +254,20 @@ def bounds(found: list[Line]) -> set[int]:
 
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     found = lines(page) if page else []
+    weights = [max(x.weight, 0) for x in found]
     held = sorted(bounds(found))
-    inside, weights = [0] * len(found), [max(x.weight, 0) for x in found]
-    outside = list(weights)
     menu = _menus([found[i] for i in held])
+    outside, named = list(weights), [0] * len(found)
     for k, i in enumerate(held):
-        inside[i] = 0 if not found[i].weight or k in menu else max(found[i].weight, 1)
         outside[i] = 0
-    rivals = [sum(outside[a:b]) for a, b in spans(outside, window, surge)]
-    if sum(inside) and sum(inside) >= max(rivals, default=0):
-        return " ".join(found[i].text for a, b in spans(inside, window, 0) for i in range(a, b) if inside[i])
+        named[i] = surge + max(weights[i], 1) if found[i].weight and k not in menu else 0
+    most = max((sum(outside[a:b]) for a, b in spans(outside, window, surge)), default=0)
+    if any(named) and sum(weights[i] for i in held) >= most:
+        weights = named
+    else:
+        named = [abs(x.weight) for x in found]
     runs = spans(weights, window, surge) or spans(weights, window, 0)
-    if not runs:
-        return ""
-    size = [sum(weights[a:b]) for a, b in runs]
-    most = max(size)
-    kept = [r for r, s in zip(runs, size) if s == most or s * 4 >= most]
-    return " ".join(found[i].text for a, b in kept for i in range(a, b) if found[i].weight)
+    return " ".join(found[i].text for a, b in runs for i in range(a, b) if named[i])
 
 
 def _menus(found: list[Line]) -> set[int]:
