@@ -1,8 +1,9 @@
 """Quality rules by robust multivariate outliers (operator 3).
 
 Counts of each text become five transformed statistics.  For every language and source a
-minimum-covariance-determinant estimate is fitted: from medians and absolute deviations, concentration
-steps keep the three quarters of the documents nearest by Mahalanobis distance and estimate again.  A
+minimum-covariance-determinant estimate is fitted: from three starts, the documents nearest to the medians by three
+norms in units of absolute deviations, concentration steps keep the three quarters of the documents nearest by Mahalanobis
+distance and estimate again; after two steps the start with the least determinant goes on until determinants settle.  A
 document is rejected by a base rule or if its squared distance exceeds the one in a million quantile.
 
 A source with less than ``least`` documents that pass the base rule is judged by its language, a language with less by all;
@@ -12,8 +13,8 @@ without any spread do not reject the first document that has some.
 Quantiles come from counts in fine bins and moments from sums, so a source that holds a third of
 all rows is added up before any shuffle.  Everything is DataFrame functions.
 
-Nulls: a null text has no words and fails the base rule; null ``lang`` and ``source`` are groups of their own.
-Repeated rows count each."""
+Nulls: a null text, like an empty one, has no words and fails the base rule; null ``lang`` and ``source`` are groups of
+their own.  Repeated rows count each; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -29,7 +30,11 @@ DIMS = range(len(FLOORS))
 X = [f"x{i}" for i in DIMS]
 # Quantiles of chi squared with five degrees of freedom, at 0.5 and 1 - 1e-6
 CHI_HALF, CHI_CUT = 4.35146, 35.88819
-KEPT_SHARE, STEPS, MOST_GROUPS = 0.75, 3, 20_000
+KEPT_SHARE, STEPS, SETTLED, MOST_GROUPS = 0.75, 8, 0.02, 20_000
+
+
+#: Key of the group of all rows.
+ALL = '{"level":0}'
 
 
 def repeated_words(words: Column) -> Column:
@@ -132,10 +137,10 @@ def with_distance(rows: DataFrame) -> DataFrame:
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance, floors added, of each key."""
+    """Mean, Cholesky factor of the covariance, floors added, and half its log determinant, of each key and start."""
     sums = [F.avg(x).alias(f"mu{i}") for i, x in enumerate(X)]
     cross = [F.avg(F.col(X[i]) * F.col(X[j])).alias(f"c{i}{j}") for i in DIMS for j in range(i + 1)]
-    out = rows.groupBy("key").agg(*sums, *cross)
+    out = rows.groupBy("key", "start").agg(*sums, *cross)
     for i in DIMS:
         for j in range(i + 1):
             v = F.col(f"c{i}{j}") - F.col(f"mu{i}") * F.col(f"mu{j}")
@@ -144,7 +149,8 @@ def _estimate(rows: DataFrame) -> DataFrame:
                 v -= F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             v = F.sqrt(F.greatest(v, F.lit(1e-8))) if i == j else v / F.col(f"l{j}{j}")
             out = out.withColumn(f"l{i}{j}", v)
-    return out.drop(*(f"c{i}{j}" for i in DIMS for j in range(i + 1)))
+    half = sum((F.log(f"l{i}{i}") for i in DIMS[1:]), F.log("l00"))
+    return out.drop(*(f"c{i}{j}" for i in DIMS for j in range(i + 1))).withColumn("det", half)
 
 
 def fit(stats: DataFrame, least: int = 100) -> DataFrame:
@@ -153,7 +159,7 @@ def fit(stats: DataFrame, least: int = 100) -> DataFrame:
     ``stats`` is a written table with lang, source, base_failed and the statistics."""
     rows = stats.where(~F.col("base_failed")).select(F.explode(F.array(*_keys())).alias("key"), *X)
     groups = rows.groupBy("key").agg(F.count("*").alias("n"))
-    enough = F.when(F.col("key") == '{"level":0}', 20).otherwise(least)
+    enough = F.when(F.col("key") == ALL, 20).otherwise(least)
     groups = staged(groups.where(F.col("n") >= enough).select("key"), "groups")
     rows = _attached(rows, groups)
     long = lambda df, cols: df.select("key", F.posexplode(F.array(*cols)).alias("dim", "v"))
@@ -161,26 +167,41 @@ def fit(stats: DataFrame, least: int = 100) -> DataFrame:
     off = [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(X)]
     spread = staged(_wide(_quantile(long(_attached(rows, middle), off), ["key", "dim"], F.col("v"), 0.5, 0.001), "s").join(middle, "key"), "spreads")
     z = [(F.col(x) - F.col(f"m{i}")) / F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) for i, x in enumerate(X)]
-    near = _attached(rows, spread).withColumn("d", sum((v * v for v in z[1:]), z[0] * z[0])).select("key", *X, "d")
+    squares = [v * v for v in z]
+    starts = [sum(squares[1:], squares[0]), F.greatest(*squares), sum(map(F.abs, z[1:]), F.abs(z[0]))]
+    near = _attached(rows, spread).select("key", *X, F.posexplode(F.array(*starts)).alias("start", "d"))
     log = F.log(F.col("d") + 1e-6)
-    for _ in range(STEPS):
-        edge = staged(_quantile(near, ["key"], log, KEPT_SHARE, 1 / 32), "edges")
-        params = staged(_estimate(_attached(near, edge).where(log <= F.col("q"))), "estimates")
-        near = with_distance(_attached(rows, params)).select("key", *X, "d")
+    before = None
+    for step in range(STEPS):
+        edge = staged(_quantile(near, ["key", "start"], log, KEPT_SHARE, 1 / 32), "edges")
+        kept = near.join(bounded_broadcast(edge, MOST_GROUPS), ["key", "start"]).where(log <= F.col("q"))
+        params = staged(_estimate(kept), "estimates")
+        if step == 1:
+            best = params.groupBy("key").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
+            params = staged(params.join(best, ["key", "start"]), "best")
+        near = with_distance(_attached(rows, params)).select("key", "start", *X, "d")
+        if step > 1:
+            moved = params.join(before, "key").agg(F.max(F.abs(F.col("det") - F.col("det_before")))).first()[0]
+            if moved is None or moved < SETTLED:
+                break
+        before = params.select("key", F.col("det").alias("det_before"))
     half = _quantile(near, ["key"], log, 0.5, 1 / 32)
     scale = F.greatest(F.lit(1.0), F.exp("q") / CHI_HALF).alias("scale")
-    return staged(params.join(half.select("key", scale), "key"), "mcd")
+    return staged(params.drop("start", "det").join(half.select("key", scale), "key"), "mcd")
 
 
 def judge(stats: DataFrame, params: DataFrame) -> DataFrame:
     """``stats`` with d2 (null where no group is large enough) and kept."""
     known = bounded_broadcast(params, MOST_GROUPS)
-    best = stats
     names = [c for c in params.columns if c != "key"]
-    for k, key in enumerate(_keys()):
+    finer = _keys()[:-1]
+    of_all = params.where(F.col("key") == ALL).select(*names).first()
+    best = stats
+    for k, key in enumerate(finer):
         side = known.select(F.col("key").alias(f"__k{k}"), F.struct(*names).alias(f"__p{k}"))
         best = best.join(side, key == F.col(f"__k{k}"), "left")
-    best = best.withColumn("__p", F.coalesce("__p0", "__p1", "__p2")).select(*stats.columns, "__p.*")
+    rest = F.struct(*(F.lit(of_all[c] if of_all else None).cast("double").alias(c) for c in names))
+    best = best.withColumn("__p", F.coalesce("__p0", "__p1", rest)).select(*stats.columns, "__p.*")
     d2 = F.col("d") / F.col("scale")
     out = with_distance(best).withColumn("d2", d2)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CHI_CUT, F.lit(True))
@@ -199,5 +220,5 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
     made = with_statistics(docs.select("text", "lang", "source", F.struct(*docs.columns).alias("__doc"))).drop("text")
-    stats = staged(made.select("lang", "source", "base_failed", *X), "statistics")
-    return judge(made, fit(stats)).where("kept").select("__doc.*")
+    stats = staged(made.select("lang", "source", "base_failed", *X, "__doc"), "statistics")
+    return judge(stats, fit(stats)).where("kept").select("__doc.*")
