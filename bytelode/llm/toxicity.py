@@ -10,7 +10,8 @@ in a text of that length, and a logistic curve turns the best of a text into a p
 Learning takes a bounded sample of labelled rows (``MOST_LABELS``), scoring every whole text.
 
 Nulls: a null or empty text has no segment and gets the score of one; labels that are null are left
-out, a document labelled more than once is toxic if any label says so."""
+out, a document labelled more than once is toxic if any label says so.  Repeated rows are learned from and scored each; an
+empty table gives no rows, and without labels every score is the same."""
 
 from __future__ import annotations
 
@@ -24,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what is learned from and of the lexicon.
-MOST_LABELS, MOST_TOKENS = 200_000, 50_000
+from .common import bounded_broadcast, staged
+
+#: Bound of what is learned from.  The lexicon has every significant token of it.
+MOST_LABELS = 200_000
 PRIOR, LEAST, SIGNIFICANT, COST, PREFIXES = 500.0, 0.5, 4.0, 0.2, (5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -107,22 +110,19 @@ def token_counts(labelled: DataFrame) -> DataFrame:
 def learn_lexicon(labelled: DataFrame) -> Lexicon:
     """Tokens whose log-odds with an informative Dirichlet prior are significant.
 
-    The totals come first; the test of each token is a column expression, so only significant tokens,
-    ``MOST_TOKENS`` at most, reach the driver."""
-    counts = token_counts(labelled).persist()
-    try:
-        nt, nc = counts.agg(F.sum("toxic"), F.sum("other")).first()
-        if not nt or not nc:
-            return Lexicon({})
-        a = F.lit(LEAST) + F.lit(PRIOR) * (F.col("toxic") + F.col("other")) / F.lit(float(nt + nc))
-        yt, yc = F.col("toxic") + a, F.col("other") + a
-        odds = F.log(yt / (nt + PRIOR - yt)) - F.log(yc / (nc + PRIOR - yc))
-        error = F.sqrt(1 / yt + 1 / yc)
-        scored = counts.where("toxic >= 3").select("token", odds.alias("odds"), error.alias("error"))
-        top = scored.where(F.col("odds") > SIGNIFICANT * F.col("error")).orderBy(F.desc(F.col("odds") / F.col("error")), "token").limit(MOST_TOKENS)
-        return Lexicon({r["token"]: r["odds"] - r["error"] for r in top.collect() if r["odds"] > r["error"] + 2 * COST})
-    finally:
-        counts.unpersist()
+    The totals come first; the test of each token is a column expression, so only significant tokens reach the
+    driver: at least three toxic documents of the bounded sample have each."""
+    counts = staged(token_counts(labelled), "tokens")
+    nt, nc = counts.agg(F.sum("toxic"), F.sum("other")).first()
+    if not nt or not nc:
+        return Lexicon({})
+    a = F.lit(LEAST) + F.lit(PRIOR) * (F.col("toxic") + F.col("other")) / F.lit(float(nt + nc))
+    yt, yc = F.col("toxic") + a, F.col("other") + a
+    odds = F.log(yt / (nt + PRIOR - yt)) - F.log(yc / (nc + PRIOR - yc))
+    error = F.sqrt(1 / yt + 1 / yc)
+    scored = counts.where("toxic >= 3").select("token", odds.alias("odds"), error.alias("error"))
+    top = scored.where(F.col("odds") > SIGNIFICANT * F.col("error"))
+    return Lexicon({r["token"]: r["odds"] - r["error"] for r in top.collect() if r["odds"] > r["error"] + 2 * COST})
 
 
 class Calibration:
@@ -192,7 +192,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS)
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
     drawn = known.where(draw < F.lit(math.ceil(1_000_000 * min(1.0, most / max(n, 1)))))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(bounded_broadcast(staged(drawn, "labels"), 2 * most), "doc_id").select("text", "toxic")
 
 
 def score_toxicity(docs: DataFrame, train: DataFrame, held_out: Column) -> DataFrame:
