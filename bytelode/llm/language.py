@@ -9,7 +9,8 @@ Prediction multiplies the two layers once, so each subword adds one row of logit
 texts in blocks of bounded size.
 
 Nulls: a null text or one without a letter is ``und`` with score 0; rows without ``lang`` are not learned
-from.  Without any labelled row every prediction is ``und``."""
+from.  Without any labelled row every prediction is ``und``; an empty table gives no rows.  Repeated rows are learned from
+and predicted each."""
 
 from __future__ import annotations
 
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_broadcast, staged
+
 BUCKETS, WIDTH, SIZES = 1 << 16, 16, (2, 3, 4)
-#: Bounds of the training sample: rows of each language, characters of a row, languages.
-PER_LANGUAGE, LONGEST, LANGUAGES = 1500, 32_768, 512
+#: Bounds of the training sample: rows of each language and of all, characters of a row and of all.
+PER_LANGUAGE, MOST_ROWS, LONGEST, MOST_CHARS = 1500, 100_000, 32_768, 200_000_000
 BLOCK = 1 << 19
 _GAPS = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -139,15 +142,21 @@ class Subwords:
 
 
 def sample_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of a bounded sample, alike in size for every language, chosen by a hash of the row."""
+    """(text, lang) of a bounded sample, alike in size for every language, chosen by a hash of the row.
+
+    Every language that has rows takes part; the more there are, the fewer rows has each."""
     fit = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= LONGEST)
-    counts = fit.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = staged(fit.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), "languages")
+    langs = counts.count()
+    if not langs:
         return []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"]))))
+    rows, chars = max(1, min(per_language, MOST_ROWS // langs)), max(1, MOST_CHARS // langs)
+    share = F.least(F.lit(1.0), F.lit(rows) / F.col("n"), F.lit(chars) / F.greatest("chars", F.lit(1)))
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000)) / F.lit(1_000_000)
-    rows = fit.where(draw < F.try_element_at(share, F.col("lang"))).select("text", "lang").collect()
-    return sorted((r["text"], r["lang"]) for r in rows)
+    shares = bounded_broadcast(counts.select("lang", share.alias("share")), MOST_ROWS)
+    drawn = fit.join(shares, "lang").where(draw < F.col("share")).select("text", "lang")
+    # equal rows are drawn together, so the bound is put on what is drawn as well
+    return sorted((r["text"], r["lang"]) for r in drawn.limit(2 * MOST_ROWS).collect())
 
 
 def identify(docs: DataFrame, labelled: DataFrame, held_out: Column) -> DataFrame:
