@@ -9,7 +9,9 @@ at the first step.
 
 Items are taken in blocks of bounded size, each against all documents; no row is shuffled.
 
-Nulls: a null or empty text or item matches nothing; null ids are carried.  Equal items match under
+Items shorter than ``shortest`` normalised characters have no errors to spare: they are sought as they are, between word bounds.
+
+Nulls: a null or empty text or item, or a table without rows, matches nothing; null ids are carried.  Equal items match under
 each of their ids, repeated documents give repeated rows.  Case and everything but letters and
 digits are ignored (runs of other characters count as one space)."""
 
@@ -97,9 +99,10 @@ class Items:
     def __init__(self, items: list[tuple], error_rate: float, shortest: int):
         import ahocorasick
 
-        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= shortest]
+        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
         at: dict[str, list[tuple[int, Node, list]]] = {}
-        self.budget = [int(error_rate * len(t)) for _, t in self.items]
+        self.short = [len(t) < shortest for _, t in self.items]
+        self.budget = [0 if short else int(error_rate * len(t)) for short, (_, t) in zip(self.short, self.items)]
         for n, (_, t) in enumerate(self.items):
             for leaf in leaves(0, len(t), self.budget[n]):
                 at.setdefault(t[leaf.lo : leaf.hi], []).append((n, leaf, near_tests(t, leaf)))
@@ -119,6 +122,8 @@ class Items:
         for last, (size, uses) in self.automaton.iter(text):
             start = last + 1 - size
             for n, node, tests in uses:
+                if self.short[n] and (text[start - 1 : start] > " " or text[last + 1 : last + 2] > " "):
+                    continue
                 for piece, a, b in tests:
                     if text.find(piece, max(0, start + a), max(0, start + b)) >= 0:
                         break
@@ -148,8 +153,7 @@ class Items:
 
 def leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.1, shortest: int = 30) -> DataFrame:
     """One row per document row and item found in it: doc_id, item_id, distance, n_passages,
-    item_chars.  Items shorter than ``shortest`` normalised characters are not sought: they would
-    strike clean texts."""
+    item_chars.  Items shorter than ``shortest`` normalised characters are found only without any edit."""
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
