@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, staged
+from .common import checkpointed, dropped, staged
 
 #: Edges a task takes.
 PER_TASK = 500_000
@@ -120,7 +120,9 @@ def _weighed(buckets: DataFrame) -> DataFrame:
     buckets = staged(buckets, "buckets")
     rows = buckets.select("key", "id").join(buckets.groupBy("key").agg(F.count("*").alias("n")), "key")
     weights = rows.groupBy("id").agg(F.sum("n").alias("weight"))
-    return staged(buckets.join(weights, "id"), "weighed")
+    weighed = staged(buckets.join(weights, "id"), "weighed")
+    dropped(buckets)
+    return weighed
 
 
 def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:

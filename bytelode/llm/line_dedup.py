@@ -31,12 +31,12 @@ PER_TASK = 2000
 #: Line numbers that are sent to all tasks at most; above, texts are shuffled.
 MOST_SENT = 200_000
 #: Characters of a piece; least hashes taken of those from each word and from each character on; longest line with the latter.
-LONG, KEYS, MORE, FULL = 12, 12, 16, 160
+LONG, KEYS, MORE, FULL = 12, 8, 12, 160
 #: Bits in which the SimHashes of candidates differ at most; less for lines of more than ``FULL`` characters, which have words enough for
 #: typos in half of them to be more edits than the similarity allows.
 CUT, CUT_LONG = 26, 20
-#: Counters of SimHash bits: three of 21 bits in a long.
-LANE, LANES = 21, 3
+#: Counters of SimHash bits in a long: seven of 9 bits for lines of at most 511 words, three of 21 bits for longer ones.
+LANES = ((9, 7), (21, 3))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -61,34 +61,38 @@ def keys_of(norm: Column) -> Column:
 
 
 def lines(docs: DataFrame, shortest: int) -> DataFrame:
-    """row, pos, norm, digest, n and keys of lines of ``shortest`` normalised characters or more."""
+    """row, pos, norm, digest and n of lines of ``shortest`` normalised characters or more."""
     normed = F.transform(F.split(normal(F.col("text")), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("norm")))
     rows = docs.select(F.col("__row").alias("row"), F.explode(F.filter(normed, lambda x: F.length(x["norm"]) >= shortest)).alias("l"))
     rows = rows.select("row", "l.pos", "l.norm")
-    return rows.withColumns({"digest": F.unhex(F.md5("norm")), "n": F.length("norm"), "keys": keys_of(F.col("norm"))})
+    return rows.withColumns({"digest": F.unhex(F.md5("norm")), "n": F.length("norm")})
 
 
 def simhashes(rows: DataFrame) -> DataFrame:
     """id and sim of lines (id, norm): bits set in over half of the hashes of the words, 63 of them.
 
-    Words are counted in rows of their own, where code is compiled; ``LANES`` counters share a long.  Lines of two
+    Words are counted in rows of their own, where code is compiled; counters share longs (``LANES``).  Lines of two
     million words, which would overflow them, have none and pass for near to any."""
-    ones = F.lit(sum(1 << LANE * k for k in range(LANES)))
-    words = rows.select("id", F.split("norm", " ").alias("w")).where(F.size("w") < 1 << LANE)
-    words = words.select("id", F.explode("w").alias("w")).select("id", F.xxhash64("w").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(ones)).alias(f"c{i}") for i in range(LANE)]
-    counted = words.groupBy("id").agg(F.count("*").alias("all"), *sums)
-    none = F.lit(0).cast("long")
-
-    def bits(counts: Column, i: Column) -> Column:
-        out = none
-        for k in range(LANES):
-            full = F.shiftrightunsigned(counts, LANE * k).bitwiseAND(F.lit((1 << LANE) - 1)) * 2 > F.col("all")
-            out = out.bitwiseOR(F.when(full, F.lit(1 << LANE * k)).otherwise(none))
-        return F.call_function("shiftleft", out, i)
-
-    by_place = F.transform(F.array(*(f"c{i}" for i in range(LANE))), bits)
-    return counted.select("id", F.aggregate(by_place, none, lambda a, x: a.bitwiseOR(x)).alias("sim"))
+    words = rows.select("id", F.split("norm", " ").alias("w"))
+    size, none, least_size, out = F.size("w"), F.lit(0).cast("long"), 0, None
+    for width, lanes in LANES:
+        some = words.where((size > least_size) & (size < 1 << width)).select("id", F.explode("w").alias("w")).select("id", F.xxhash64("w").alias("h"))
+        ones = F.lit(sum(1 << width * k for k in range(lanes)))
+        sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(ones)).alias(f"c{i}") for i in range(width)]
+        counted = some.groupBy("id").agg(F.count("*").alias("all"), *sums)
+
+        def bits(counts: Column, i: Column, width=width, lanes=lanes) -> Column:
+            found = none
+            for k in range(lanes):
+                full = F.shiftrightunsigned(counts, width * k).bitwiseAND(F.lit((1 << width) - 1)) * 2 > F.col("all")
+                found = found.bitwiseOR(F.when(full, F.lit(1 << width * k)).otherwise(none))
+            return F.call_function("shiftleft", found, i)
+
+        by_place = F.transform(F.array(*(f"c{i}" for i in range(width))), lambda c, i: bits(c, i))
+        made = counted.select("id", F.aggregate(by_place, none, lambda a, x: a.bitwiseOR(x)).alias("sim"))
+        out = made if out is None else out.unionByName(made)
+        least_size = (1 << width) - 1
+    return out
 
 
 def similar(x: str, y: str, similarity: float) -> Column:
@@ -106,8 +110,9 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20)
     """Of ``docs``, which are ``numbered``, row and drop: the places, within their row, of lines that another line of their group stands for."""
     rows = staged(lines(docs, shortest).withColumn("id", F.monotonically_increasing_id()), "lines")
     # a distinct line has the number of its first occurrence, a group that of its first line
-    distinct = staged(rows.groupBy("digest", "n", "keys").agg(F.min("id").alias("id"), F.count("*").alias("times")), "distinct")
-    keys = distinct.select("id", F.explode("keys").alias("key"))
+    keyed = rows.select("id", "digest", "n", keys_of(F.col("norm")).alias("keys"))
+    distinct = staged(keyed.groupBy("digest", "n", "keys").agg(F.min("id").alias("id"), F.count("*").alias("times")), "distinct")
+    keys = distinct.select("id", F.explode("keys").alias("key")).repartition("key")  # shuffled once, for counts and join
     shared = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
     codes = distinct.select("id", "n").join(simhashes(rows), "id", "left").select("id", F.struct("sim", "n").alias("code"))
     buckets = keys.join(shared, "key").join(codes, "id")
