@@ -12,8 +12,12 @@ state across windows through each whole document.
 
 The counts of a bounded head of words go to all tasks; the counts of all others are joined.
 
+Each task trains apart, so scores depend a little on how the documents are dealt out; the probability of each text is whole
+whatever the dealing.
+
 Nulls: a null or empty text is the end mark alone; a null ``doc_id`` is in no fold, hence learned from and not
-held out.  Repeated rows are documents of their own.  Long words are joined by a 128-bit digest."""
+held out.  Repeated rows are documents of their own.  Long words are joined by a 128-bit digest.  An empty table gives no rows,
+and without training documents the model is the unigram one."""
 
 from __future__ import annotations
 
@@ -34,7 +38,7 @@ from .recurrent import Gru
 
 #: Words of the model with the end mark, tail classes, words whose counts every task holds, and the documents and
 #: characters of one of them that the common start is fitted on.
-WORDS, TAILS, HEAD, START_DOCS, START_CHARS = 2048, 32, 49_152, 1500, 32_768
+WORDS, TAILS, HEAD, START_DOCS, START_CHARS = 1024, 16, 49_152, 1500, 32_768
 #: Not UTF-8, so no word: the end mark, and what stands before the digest of a long word.
 END, LONG = b"\xfe", b"\xff"
 CHUNK = 8192
@@ -75,19 +79,11 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 class Words(dict):
-    """key to (id, log10 of the count and a half, that less the log10 of its class where it is no word
-    of the model, False); other words give (id of their class, 0, minus the class, True)."""
-
-    def __init__(self, known: dict, log_tail: list[float]):
-        super().__init__(known)
-        self.others = [(WORDS + k, 0.0, -log, True) for k, log in enumerate(log_tail)]
+    """key to its place in the head; of other words minus their class, less one."""
 
-    def __missing__(self, word: bytes) -> tuple[int, float, float, bool]:
+    def __missing__(self, word: bytes) -> int:
         found = self.get(key_of(word)) if len(word) > 40 else None
-        return found or self.others[(word[0] * 5 + word[-1]) % TAILS]
-
-    def __reduce__(self):
-        return Words, (dict(self), [-log for _, _, log, _ in self.others])
+        return -1 - tail_of(word) if found is None else found
 
 
 class Vocabulary:
@@ -108,17 +104,21 @@ class Vocabulary:
             kinds[r["tail"]] -= 1
         self.log_tail = np.log10(totals + 0.5 * kinds + 0.5)
         self.counts = np.concatenate([[ends], [r["n"] for r in own], np.zeros(WORDS - 1 - len(own)), totals])
-        known = {}
-        for i, r in enumerate(head):
-            log = math.log10(r["n"] + 0.5)
-            known[bytes(r["key"])] = (i + 1, log, 0.0, False) if i < WORDS - 1 else (WORDS + r["tail"], log, log - float(self.log_tail[r["tail"]]), False)
-        self.words = Words(known, self.log_tail.tolist())
+        self.words = Words({bytes(r["key"]): i for i, r in enumerate(head)})
+        # for every place of the head, then for every other word by its class (places count from the end): the id,
+        # log10 of the count and a half, and that less the log10 of its class where it is no word of the model
+        tails, logs = np.array([r["tail"] for r in head[len(own) :]], np.int32), np.log10(np.array([r["n"] for r in head], float) + 0.5)
+        others = np.arange(TAILS)[::-1]
+        self.id = np.concatenate([np.arange(1, len(own) + 1), WORDS + tails, WORDS + others]).astype(np.int32)
+        self.log = np.concatenate([logs, np.zeros(TAILS)])
+        self.rest = np.concatenate([np.zeros(len(own)), logs[len(own) :] - self.log_tail[tails], -self.log_tail[others]])
         self.log_all = math.log10(self.n + 0.5 * (self.v + 1))
 
+    def places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+
     def ids(self, words: list[bytes]) -> np.ndarray:
-        out = [e[0] for e in map(self.words.__getitem__, words)]
-        out.append(0)
-        return np.array(out, np.int32)
+        return np.append(self.id[self.places(words)], np.int32(0))
 
 
 def _task_models(train: DataFrame, start: Callable[[], tuple[Vocabulary, Gru]]) -> DataFrame:
@@ -164,9 +164,10 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     vocabulary = Vocabulary(counts)
     model = Gru(vocabulary.counts, WORDS)
     n = train.count()
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_000))
     first = train.where(F.length("text") <= START_CHARS).where(draw < math.ceil(1_000_000 * min(1.0, START_DOCS / max(1, n))))
-    docs = [vocabulary.ids(words_of(t)) for t in sorted(r["text"] for r in first.select("text").collect())]
+    # equal rows are drawn together, so the bound is put on what is drawn as well; every document is trained on below
+    docs = [vocabulary.ids(words_of(t)) for t in sorted(r["text"] for r in first.select("text").limit(2 * START_DOCS).collect())]
     if docs:
         squares = model.fresh_squares()
         for _ in range(2):
@@ -199,14 +200,12 @@ def _partial_scores(docs: DataFrame, held_out: Column, vocabulary: Vocabulary, f
             ids, known, base, rest, keys, times = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
-                found = list(map(v.words.__getitem__, words))
-                own = [e[0] for e in found]
-                own.append(0)
-                others = Counter([key_of(w) for w, e in zip(words, found) if e[3]])
-                ids.append(np.array(own, np.int32))
+                found = v.places(words)
+                others = Counter([key_of(words[i]) for i in np.flatnonzero(found < 0).tolist()])
+                ids.append(np.append(v.id[found], np.int32(0)))
                 known.append(len(words) - others.total() + v.known_end)
-                base.append(sum([e[1] for e in found]) + v.log_end)
-                rest.append(sum([e[2] for e in found]))
+                base.append(float(v.log[found].sum()) + v.log_end)
+                rest.append(float(v.rest[found].sum()))
                 keys.append(list(others))
                 times.append(list(others.values()))
             if not ids:

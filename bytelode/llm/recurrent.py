@@ -1,25 +1,46 @@
 """A small gated recurrent language model in numpy, with a class-factored softmax.
 
-Documents run side by side in lanes; each lane takes one document after another, its state cleared in
-between and carried across windows within a document."""
+Documents run side by side in lanes.  They go in rounds: first the first piece of every document, then the second
+of those that have one, from the state that the first has left, and so on; so lanes are full of pieces of like length
+however long a document is, and its state is carried across windows and pieces to its end."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-HIDDEN, WINDOW, LANES, PIECE = 24, 16, 384, 512
+HIDDEN, WINDOW, LANES, PIECE = 16, 16, 512, 512
 NAMES = ("inputs", "state", "class_w", "class_b", "word_w", "word_b")
 Lanes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def window(lanes: int) -> int:
+    """Steps of a window: the fewer lanes, the longer, up to eight times ``WINDOW``, so that each has words enough."""
+    return WINDOW * max(1, min(8, LANES // max(1, lanes)))
 
 
-def in_lanes(docs: list[np.ndarray], most: int = LANES) -> Lanes:
-    """Inputs, targets, starts, document numbers as (time, lane) arrays, and how many lanes are still
-    busy at each time (lanes go from the longest to the shortest).  Document ids end with 0, which
-    also stands before the first word."""
+def rounds(docs: list[np.ndarray], piece: int = PIECE) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[int]]]:
+    """Round by round the numbers of the documents that go on, their next pieces, and the id before each (0 at the beginning)."""
+    numbers, lo = np.arange(len(docs)), 0
+    while len(numbers):
+        yield numbers, [docs[i][lo : lo + piece] for i in numbers], [int(docs[i][lo - 1]) if lo else 0 for i in numbers]
+        lo += piece
+        numbers = np.array([i for i in numbers if len(docs[i]) > lo], np.int64)
+
+
+def in_lanes(docs: list[np.ndarray], before: list[int] | None = None, most: int = LANES) -> Lanes:
+    """Inputs, targets, starts, numbers of the pieces as (time, lane) arrays, and how many lanes are still
+    busy at each time (lanes go from the longest to the shortest)."""
     sizes = np.array([len(d) for d in docs])
     lanes = int(np.clip(sizes.sum() // max(1, sizes.max()), 8, most))
     loads, rows = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
@@ -36,6 +57,7 @@ def in_lanes(docs: list[np.ndarray], most: int = LANES) -> Lanes:
         for i in rows[k]:
             d = docs[i]
             y[at : at + len(d), lane] = d
+            x[at, lane] = before[i] if before else 0
             x[at + 1 : at + len(d), lane] = d[:-1]
             start[at, lane] = True
             own[at : at + len(d), lane] = i
@@ -50,7 +72,7 @@ class Gru:
     Ids below ``words`` are words, frequent first, id 0 the end of a document; higher ids are tail
     classes.  ``counts`` has the frequency of every id; the model starts as the unigram model."""
 
-    def __init__(self, counts: np.ndarray, words: int, classes: int = 32, seed: int = 5):
+    def __init__(self, counts: np.ndarray, words: int, classes: int = 24, seed: int = 5):
         self.words, rng = words, np.random.default_rng(seed)
         mass = np.cumsum(np.sqrt(counts[:words] + 1.0))
         self.of_word = np.minimum((mass / mass[-1] * classes).astype(np.int32), classes - 1)
@@ -68,36 +90,48 @@ class Gru:
         self.word_w = np.zeros((words, h), np.float32)
         self.word_b = (np.log(counts[:words] + 0.5) - np.log(per_class[self.of_word])).astype(np.float32)
 
-    def forward(self, x: np.ndarray, start: np.ndarray, busy: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after every step of a window; ``h`` is carried over in place."""
-        n, out = HIDDEN, np.zeros((*x.shape, HIDDEN), np.float32)
-        for t in range(len(x)):
-            k = busy[t]
-            prev = h[:k] * ~start[t, :k, None] if start[t, :k].any() else h[:k].copy()
-            u, g = self.inputs[x[t, :k]], prev @ self.state
-            gates = sigmoid(u[:, : 2 * n] + g[:, : 2 * n])
+    def forward(self, x: np.ndarray, start: np.ndarray, own: np.ndarray, busy: np.ndarray, h: np.ndarray, carry: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States after every step of a window; ``h`` is carried over in place.  A piece starts from its row of ``carry``, and
+        leaves its last state there."""
+        n, out, begins = HIDDEN, np.zeros((*x.shape, HIDDEN), np.float32), start.any(axis=1)
+        for t, k in enumerate(busy.tolist()):
+            prev = h[:k].copy()
+            if begins[t]:
+                at = np.flatnonzero(start[t, :k])
+                prev[at] = carry[own[t, at]]
+            u, g = self.inputs.take(x[t, :k], axis=0), prev @ self.state
+            gates = g[:, : 2 * n] + u[:, : 2 * n]
+            sigmoid(gates)
             z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(u[:, 2 * n :] + r * g[:, 2 * n :])
-            now = new + z * (prev - new)
+            new = r * g[:, 2 * n :]
+            new += u[:, 2 * n :]
+            np.tanh(new, out=new)
+            now = out[t, :k]
+            np.subtract(prev, new, out=now)
+            now *= z
+            now += new
             if keep is not None:
                 keep.append((prev, z, r, new, g[:, 2 * n :]))
             h[:k] = now
-            out[t, :k] = now
+            carry[own[t, :k]] = now
         return out
 
-    def _classes(self, s: np.ndarray) -> np.ndarray:
-        z = s @ self.class_w + self.class_b
-        z -= z.max(axis=1, keepdims=True)
-        return z
+    @staticmethod
+    def _softmax(w: np.ndarray, b: np.ndarray, s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the scores (rows of ``w`` by rows of ``s``), and the log of the share that each y has."""
+        z = w @ s.T
+        z += b[:, None]
+        z -= z.max(axis=0)
+        own = z[y, np.arange(len(y))]
+        np.exp(z, out=z)
+        return z, own - np.log(z.sum(axis=0))
 
     def log_probs(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the class probability, times the word's within its class for words."""
-        z, c = self._classes(s), self.class_of[y]
-        out = (z[np.arange(len(y)), c] - np.log(np.exp(z).sum(axis=1))).astype(np.float64)
+        c = self.class_of[y]
+        out = self._softmax(self.class_w.T, self.class_b, s, c)[1].astype(np.float64)
         for a, b, at in self._by_class(y, c):
-            z = s[at] @ self.word_w[a:b].T + self.word_b[a:b]
-            z -= z.max(axis=1, keepdims=True)
-            out[at] += z[np.arange(len(at)), y[at] - a] - np.log(np.exp(z).sum(axis=1))
+            out[at] += self._softmax(self.word_w[a:b], self.word_b[a:b], s[at], y[at] - a)[1]
         return out
 
     def _by_class(self, y: np.ndarray, c: np.ndarray):
@@ -110,67 +144,71 @@ class Gru:
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each whole document (tail words: of their class)."""
-        x, y, start, own, busy = in_lanes(docs)
-        h, out, step = np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros(len(docs)), 4 * WINDOW
-        for lo in range(0, len(x), step):
-            cut = slice(lo, lo + step)
-            s = self.forward(x[cut], start[cut], busy[cut], h)
-            live = np.arange(x.shape[1])[None, :] < busy[cut, None]
-            out += np.bincount(own[cut][live], self.log_probs(s[live], y[cut][live]), len(docs))
+        out, carry = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32)
+        for numbers, pieces, before in rounds(docs):
+            x, y, start, own, busy = in_lanes(pieces, before)
+            own, h, step = numbers[own], np.zeros((x.shape[1], HIDDEN), np.float32), 4 * window(x.shape[1])
+            for lo in range(0, len(x), step):
+                cut = slice(lo, lo + step)
+                s = self.forward(x[cut], start[cut], own[cut], busy[cut], h, carry)
+                live = np.arange(x.shape[1])[None, :] < busy[cut, None]
+                out += np.bincount(own[cut][live], self.log_probs(s[live], y[cut][live]), len(docs))
         return out
 
     def train(self, docs: list[np.ndarray], squares: dict[str, np.ndarray], rate: float = 0.1) -> None:
-        """One pass of truncated backpropagation, a step of Adagrad after each window.  Long documents
-        are cut, state and all, so that the lanes stay full; nothing is left out."""
-        x, y, start, _, busy = in_lanes([d[i : i + PIECE] for d in docs for i in range(0, len(d), PIECE)])
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        for lo in range(0, len(x), WINDOW):
-            cut = slice(lo, lo + WINDOW)
-            self._step(x[cut], y[cut], start[cut], busy[cut], h, squares, rate)
+        """One pass of truncated backpropagation, a step of Adagrad after each window.  Gradients end with the
+        window, states are carried on through each whole document."""
+        carry = np.zeros((len(docs), HIDDEN), np.float32)
+        for numbers, pieces, before in rounds(docs):
+            x, y, start, own, busy = in_lanes(pieces, before)
+            own, h, step = numbers[own], np.zeros((x.shape[1], HIDDEN), np.float32), window(x.shape[1])
+            for lo in range(0, len(x), step):
+                cut = slice(lo, lo + step)
+                self._step(x[cut], y[cut], start[cut], own[cut], busy[cut], h, carry, squares, rate)
 
     def _descend(self, name: str, grad: np.ndarray, squares: dict, rate: float, at=slice(None)) -> None:
         squares[name][at] += grad * grad
         getattr(self, name)[at] -= rate * grad / np.sqrt(squares[name][at])
 
-    def _step(self, x, y, start, busy, h, squares, rate) -> None:
+    def _step(self, x, y, start, own_docs, busy, h, carry, squares, rate) -> None:
         n, kept = HIDDEN, []
-        states = self.forward(x, start, busy, h, kept)
+        states = self.forward(x, start, own_docs, busy, h, carry, kept)
         live = np.arange(x.shape[1])[None, :] < busy[:, None]
         s, targets = states[live], y[live]
         scale = np.float32(1 / len(targets))
-        c = self.class_of[targets]
-        p = np.exp(self._classes(s))
-        p *= scale / p.sum(axis=1, keepdims=True)
-        p[np.arange(len(c)), c] -= scale
-        back = p @ self.class_w.T
-        grads = [("class_w", s.T @ p, slice(None)), ("class_b", p.sum(axis=0), slice(None))]
+        c, places = self.class_of[targets], np.arange(len(targets))
+        p, _ = self._softmax(self.class_w.T, self.class_b, s, c)
+        p *= scale / p.sum(axis=0)
+        p[c, places] -= scale
+        back = np.ascontiguousarray((self.class_w @ p).T)
+        grads = [("class_w", (p @ s).T, slice(None)), ("class_b", p.sum(axis=1), slice(None))]
         for a, b, at in self._by_class(targets, c):
-            own = s[at]
-            q = own @ self.word_w[a:b].T + self.word_b[a:b]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            q *= scale / q.sum(axis=1, keepdims=True)
-            q[np.arange(len(at)), targets[at] - a] -= scale
-            back[at] += q @ self.word_w[a:b]
-            grads.append(("word_w", q.T @ own, slice(a, b)))
-            grads.append(("word_b", q.sum(axis=0), slice(a, b)))
+            own, mine = s[at], targets[at] - a
+            q, _ = self._softmax(self.word_w[a:b], self.word_b[a:b], own, mine)
+            q *= scale / q.sum(axis=0)
+            q[mine, places[: len(at)]] -= scale
+            back[at] += q.T @ self.word_w[a:b]
+            grads.append(("word_w", q @ own, slice(a, b)))
+            grads.append(("word_b", q.sum(axis=1), slice(a, b)))
         full = np.zeros(states.shape, np.float32)
         full[live] = back
         state_grad, input_grad = np.zeros_like(self.state), np.zeros((*x.shape, 3 * n), np.float32)
-        dh = np.zeros((x.shape[1], n), np.float32)
+        dh, begins = np.zeros((x.shape[1], n), np.float32), start.any(axis=1)
         for t in range(len(x) - 1, -1, -1):
             k = busy[t]
             prev, z, r, new, gn = kept[t]
             d = dh[:k] + full[t, :k]
-            dn = d * (1 - z) * (1 - new * new)
-            gate = input_grad[t, :k]
-            gate[:, :n] = d * (prev - new) * z * (1 - z)
+            keeps, gate = d * z, input_grad[t, :k]
+            dn = d - keeps
+            gate[:, :n] = dn * (prev - new) * z
+            dn *= 1 - new * new
             gate[:, n : 2 * n] = dn * gn * r * (1 - r)
             gate[:, 2 * n :] = dn
             dg = gate.copy()
             dg[:, 2 * n :] *= r
             state_grad += prev.T @ dg
-            d = d * z + dg @ self.state.T
-            dh[:k] = d * ~start[t, :k, None] if start[t, :k].any() else d
+            keeps += dg @ self.state.T
+            dh[:k] = keeps * ~start[t, :k, None] if begins[t] else keeps
         ids, flat = x[live], input_grad[live]
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
