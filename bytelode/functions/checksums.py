@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,35 +35,62 @@ def crc16_of(data: bytes) -> int:
     return r
 
 
+#: The remainders repeat after so many zero bytes.
+CYCLE16 = 32_767
+
+
+@functools.cache
+def _shifted16() -> np.ndarray:
+    """Remainder of every byte with k zero bytes behind it, k up to the cycle."""
+    table = np.array(_TABLE16, np.uint16)
+    out = np.empty((CYCLE16, 256), np.uint16)
+    out[0] = table
+    for k in range(1, CYCLE16):
+        out[k] = out[k - 1] << np.uint16(8) ^ table[out[k - 1] >> np.uint16(8)]
+    return out
+
+
+def crc16_of_all(values: list[bytes]) -> np.ndarray:
+    """CRC-16 of each value: the sum without carry of its bytes' remainders, each shifted by the bytes behind it."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(values), np.uint8)
+    out = np.zeros(len(values), np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        behind = np.repeat(ends, sizes) - np.arange(len(data)) - 1
+        out[full] = np.bitwise_xor.reduceat(_shifted16()[behind % CYCLE16, data], (ends - sizes)[full])
+    return out
+
+
 @pandas_udf(T.LongType())
 def crc16(content: pd.Series) -> pd.Series:
-    return content.map(crc16_of, na_action="ignore").astype("Int64")
+    known = content.dropna()
+    return pd.Series(crc16_of_all([bytes(x) for x in known]), index=known.index).reindex(content.index).astype("Int64")
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the CRC-32 one, coefficients reflected."""
-    out = 0
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo the CRC-32 one, coefficients reflected."""
+    out, zero, poly = np.zeros(np.broadcast(a, b).shape, np.uint32), np.uint32(0), np.uint32(POLY32)
     for bit in range(31, -1, -1):
-        if a >> bit & 1:
-            out ^= b
-        b = b >> 1 ^ (POLY32 if b & 1 else 0)
+        out ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, zero)
+        b = b >> np.uint32(1) ^ np.where(b & np.uint32(1), poly, zero)
     return out
 
 
-def shifted(crc: int, n: int) -> int:
-    """What a CRC-32 becomes when ``n`` zero bytes follow: times x to the power 8n."""
-    power, square = 0x80000000, 0x00800000  # 1 and x^8
-    while n:
-        if n & 1:
-            power = _times(power, square)
+def shifted(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What CRC-32s become when ``n`` zero bytes follow each: times x to the power 8n."""
+    crc, n, square = np.asarray(crc, np.uint32), np.asarray(n, np.int64), np.array([0x00800000], np.uint32)  # x^8
+    while n.any():
+        crc = np.where(n & 1, _times(crc, square), crc)
         square = _times(square, square)
-        n >>= 1
-    return _times(crc, power)
+        n = n >> 1
+    return crc
 
 
 @pandas_udf(T.LongType())
 def shift_crc32(crc: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([shifted(int(c), int(n)) for c, n in zip(crc, after)], dtype="int64")
+    return pd.Series(shifted(crc.to_numpy(np.int64).astype(np.uint32), after.to_numpy(np.int64)).astype(np.int64))
 
 
 def combined_crc32(parts: DataFrame, by: list[str], crc: str, after: str) -> DataFrame:

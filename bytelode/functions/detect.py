@@ -7,33 +7,33 @@ from pyspark.sql import functions as F
 
 # Signatures in the order they are tried: bytes in hex, offset, type, description, extension
 SIGNATURES = [
-    ("504B0304", 0, "application/zip", "ZIP archive", "zip"),
-    ("526172211A07", 0, "application/x-rar", "RAR archive", "rar"),
-    ("1F8B", 0, "application/gzip", "GZIP archive", "gz"),
-    ("425A68", 0, "application/x-bzip2", "BZIP2 archive", "bz2"),
-    ("FD377A585A00", 0, "application/x-xz", "XZ archive", "xz"),
-    ("377ABCAF271C", 0, "application/x-7z-compressed", "7-Zip archive", "7z"),
-    ("435A4950", 0, "application/x-czip", "CZIP archive", "czip"),
-    ("43524152", 0, "application/x-crar", "CRAR archive", "crar"),
-    ("89504E470D0A1A0A", 0, "image/png", "PNG image", "png"),
-    ("FFD8FF", 0, "image/jpeg", "JPEG image", "jpg"),
-    ("47494638", 0, "image/gif", "GIF image", "gif"),
-    ("424D", 0, "image/bmp", "BMP image", "bmp"),
-    ("52494646", 0, "image/webp", "WebP image", "webp"),
-    ("494433", 0, "audio/mpeg", "MP3 audio", "mp3"),
-    ("66747970", 4, "video/mp4", "MP4 video", "mp4"),
-    ("0000001866747970", 0, "video/mp4", "MP4 video", "mp4"),
-    ("25504446", 0, "application/pdf", "PDF document", "pdf"),
-    ("D0CF11E0A1B11AE1", 0, "application/msword", "Microsoft Office document", "doc"),
-    ("3C3F786D6C", 0, "text/xml", "XML document", "xml"),
-    ("3C68746D6C", 0, "text/html", "HTML document", "html"),
-    ("7F454C46", 0, "application/x-elf", "ELF executable", "elf"),
-    ("4D5A", 0, "application/x-msdownload", "Windows executable", "exe"),
-    ("EFBBBF", 0, "text/plain", "UTF-8 text with a mark", "txt"),
+    ("504B0304", 0, "application/zip", "ZIP archive", ".zip"),
+    ("526172211A07", 0, "application/x-rar", "RAR archive", ".rar"),
+    ("1F8B", 0, "application/gzip", "GZIP archive", ".gz"),
+    ("425A68", 0, "application/x-bzip2", "BZIP2 archive", ".bz2"),
+    ("FD377A585A00", 0, "application/x-xz", "XZ archive", ".xz"),
+    ("377ABCAF271C", 0, "application/x-7z", "7-Zip archive", ".7z"),
+    ("435A4950", 0, "application/x-czip", "CZIP archive", ".czip"),
+    ("43524152", 0, "application/x-crar", "CRAR archive", ".crar"),
+    ("89504E470D0A1A0A", 0, "image/png", "PNG image", ".png"),
+    ("FFD8FF", 0, "image/jpeg", "JPEG image", ".jpg"),
+    ("47494638", 0, "image/gif", "GIF image", ".gif"),
+    ("424D", 0, "image/bmp", "BMP image", ".bmp"),
+    ("52494646", 0, "image/webp", "WebP image", ".webp"),
+    ("494433", 0, "audio/mpeg", "MP3 audio", ".mp3"),
+    ("66747970", 4, "video/mp4", "MP4 video", ".mp4"),
+    ("0000001866747970", 0, "video/mp4", "MP4 video", ".mp4"),
+    ("25504446", 0, "application/pdf", "PDF document", ".pdf"),
+    ("D0CF11E0A1B11AE1", 0, "application/msword", "Microsoft Office document", ".doc"),
+    ("3C3F786D6C", 0, "text/xml", "XML document", ".xml"),
+    ("3C68746D6C", 0, "text/html", "HTML document", ".html"),
+    ("7F454C46", 0, "application/x-elf", "ELF executable", ".elf"),
+    ("4D5A", 0, "application/x-msdownload", "Windows executable", ".exe"),
+    ("EFBBBF", 0, "text/plain", "UTF-8 text with a mark", ".txt"),
 ]
 ARCHIVES = "zip|rar|gzip|bzip2|czip|crar|7z|xz"
-TEXT = ("text/plain", "Text", "txt")
-OTHER = ("application/octet-stream", "Binary data", "bin")
+TEXT = ("text/plain", "Text", ".txt")
+OTHER = ("application/octet-stream", "Binary data", ".bin")
 HEAD = 512
 
 
@@ -61,6 +61,12 @@ def detect(content: Column) -> Column:
     )
 
 
+def packed_warning(content: Column) -> Column:
+    """What packing input that is an archive already is warned of with, judged by its first 16 bytes; else null."""
+    found = detect(F.substring(F.coalesce(content, F.lit(b"")), 1, 16))
+    return F.when(found["is_archive"], F.concat(F.lit("already packed: "), found["description"]))
+
+
 def _matches(content: Column, row: tuple) -> Column:
     return F.substring(content, row[1] + 1, len(row[0]) // 2) == F.lit(bytes.fromhex(row[0]))
 

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, LongType
 
 from ..functions.checksums import combined_crc32
-from ..functions.codecs import decoder, encoder
-from ..functions.formats import ALLOWED
+from ..functions.codecs import decoder, encoder, method_codecs
+from ..functions.formats import ALLOWED, METHODS
 from .chunks import CHUNK, chunked
 
+#: Bytes before the code bits: lengths, size and padding.
+HUFFMAN_HEAD = 265
+
 
 def compressed(chunks: DataFrame, method: str, window: int = 32768) -> DataFrame:
     """``chunks`` (.., data) with orig_sz, crc32, packed, raw and csz: a chunk that would not shrink is
@@ -46,6 +56,20 @@ def restored(chunks: DataFrame, method: str, on_error: str = "fail") -> DataFram
     return rows.withColumn("error", error)
 
 
+@pandas_udf(BinaryType())
+def decoded(content: pd.Series, method: pd.Series) -> pd.Series:
+    """Chunks decoded by the codes of their methods; null where one does not decode."""
+    codecs = {code: method_codecs(name)[1] for name, code in METHODS.items()}
+
+    def one(value, code):
+        try:
+            return None if value is None else codecs[code](bytes(value))
+        except (ValueError, KeyError):
+            return None
+
+    return pd.Series([one(v, c) for v, c in zip(content, method)], index=content.index, dtype=object)
+
+
 def crc_of_files(chunks: DataFrame, by: str, chunk: int = CHUNK) -> DataFrame:
     """(by, crc32, parts, size) of whole payloads from their chunks' checksums.
 
@@ -66,16 +90,26 @@ def savings(chunks: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def huffman_bits(counts: Column) -> Column:
-    """Bits of an optimal code for an array of symbol counts: the sum of all merged weights, the two
+def huffman_bits(counts: Sequence[int]) -> int:
+    """Bits of an optimal code for symbols of these counts: the sum of all merged weights, the two
     least merged again and again; a single symbol takes one bit each."""
-    merge = F.aggregate(
-        F.sequence(F.lit(2), F.greatest(F.size(counts), F.lit(2))),
-        F.struct(F.sort_array(counts).alias("w"), F.lit(0).cast("long").alias("bits")),
-        lambda acc, _: F.struct(
-            F.when(F.size(acc["w"]) > 1, F.sort_array(F.concat(F.slice(acc["w"], 3, F.greatest(F.size(acc["w"]) - 2, F.lit(0))), F.array(acc["w"][0] + F.get(acc["w"], 1))))).otherwise(acc["w"]).alias("w"),
-            F.when(F.size(acc["w"]) > 1, acc["bits"] + acc["w"][0] + F.get(acc["w"], 1)).otherwise(acc["bits"]).alias("bits"),
-        ),
-        lambda acc: acc["bits"],
-    )
-    return F.when(F.size(counts) == 1, counts[0]).otherwise(merge)
+    if len(counts) == 1:
+        return counts[0]
+    heap, bits = list(counts), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        pair = heapq.heappop(heap) + heap[0]
+        heapq.heapreplace(heap, pair)
+        bits += pair
+    return bits
+
+
+@pandas_udf(LongType())
+def huffman_size(content: pd.Series) -> pd.Series:
+    """Bytes that the Huffman codec makes of a value, from its byte counts alone."""
+
+    def one(value) -> int:
+        counts = np.bincount(np.frombuffer(value, np.uint8), minlength=256)
+        return HUFFMAN_HEAD + -(-huffman_bits(counts[counts > 0].tolist() or [0]) // 8)
+
+    return content.map(one, na_action="ignore").astype("Int64")

@@ -1,4 +1,4 @@
-"""Archiving a table of payloads, and verifying archives."""
+"""Archiving a table of payloads, verifying archives, and restoring what they hold."""
 
 from __future__ import annotations
 
@@ -6,33 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checksums import combined_crc32
-from ..functions.formats import METHODS
 from ..operators.chunks import CHUNK
-from ..operators.compression import compress, crc_of_files, restored
-from ..sources.archives import archives, chunk_rows, headers
+from ..operators.compression import compress, crc_of_files, decoded
+from ..sources.archives import archives, chunk_rows, headers, records, write_archives
+from ..sources.staging import written
+
+
+def archive_pieces(df: DataFrame, key: str, payload: str, container: str = "czip", method: str = "huffman", chunk: int = CHUNK, window: int = 32768) -> DataFrame:
+    """(name, place, piece) of an archive of each payload; empty payloads have none.  Chunks are packed once, into a
+    written table that a lost executor does not take along."""
+    chunks = written(compress(df, key, payload, method, container, chunk, window), "packed")
+    return records(chunks, crc_of_files(chunks, key, chunk), container, method, window, key)
 
 
 def archive_table(df: DataFrame, key: str, payload: str, container: str = "czip", method: str = "huffman", chunk: int = CHUNK, window: int = 32768) -> DataFrame:
-    """(name, content): an archive of each payload; empty payloads have none."""
-    chunks = compress(df, key, payload, method, container, chunk, window)
-    files = crc_of_files(chunks, key, chunk).withColumnRenamed("crc32", "file_crc")
-    rows = chunks.drop("crc32").join(files.select(key, "size", F.col("file_crc").alias("crc32")), key)
-    return archives(rows, container, method, window, key)
+    """(name, content): an archive of each payload as one value; empty payloads have none."""
+    return archives(archive_pieces(df, key, payload, container, method, chunk, window))
 
 
-def verified(files: DataFrame) -> DataFrame:
-    """(path, name, container, method, size, chunks, status) of archives (path, content): ok, or the
-    first fault: of the header, a record, a chunk's size, the whole size or the checksum."""
-    read = files.select("path", "content", headers(F.col("content")).alias("header"))
-    rows = chunk_rows(read)
-    methods = read.select("path", F.col("header.method").alias("code"))
-    parts = rows.join(methods, "path")
-    checked = None
-    for method, code in METHODS.items():
-        own = parts.where(F.col("code") == code).withColumn("crc32", F.lit(None).cast("long"))
-        own = _restored(own, method)
-        checked = own if checked is None else checked.unionByName(own)
-    sums = checked.groupBy("path").agg(F.sum("got").alias("got_size"), F.count("*").alias("chunks"), F.min("fault").alias("first_fault"), F.max("got").alias("full"))
+def archive_files(df: DataFrame, key: str, payload: str, folder: str, container: str = "czip", method: str = "huffman", chunk: int = CHUNK, window: int = 32768) -> None:
+    """An archive of each payload as a file of ``folder``; the ``archives`` source must be registered."""
+    write_archives(archive_pieces(df, key, payload, container, method, chunk, window), folder)
+
+
+def _checked(read: DataFrame) -> DataFrame:
+    """path, chunk_idx, data, got, crc, fault of every chunk."""
+    rows = chunk_rows(read).withColumn("__coded", decoded(F.when(~F.col("raw"), F.col("packed")), F.col("method")))
+    rows = rows.withColumn("data", F.when(F.col("raw"), F.col("packed")).otherwise(F.col("__coded")))
+    fault = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("data").isNull(), "chunk decode").when(F.octet_length("data") != F.col("orig_sz"), "chunk size")
+    return rows.select("path", "chunk_idx", "data", F.octet_length("data").cast("long").alias("got"), F.crc32("data").alias("crc"), fault.alias("fault"))
+
+
+def _judged(read: DataFrame, checked: DataFrame) -> DataFrame:
+    first = F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("chunk_idx")))
+    sums = checked.groupBy("path").agg(F.sum("got").alias("got_size"), F.count("*").alias("chunks"), first.alias("first_fault"), F.max("got").alias("full"))
     placed = checked.join(sums, "path").withColumn("after", F.col("got_size") - F.col("chunk_idx") * F.col("full") - F.col("got"))
     crcs = combined_crc32(placed.where("first_fault IS NULL AND after >= 0"), ["path"], "crc", "after").select("path", F.col("crc32").alias("got_crc"))
     out = read.select("path", "header").join(sums, "path", "left").join(crcs, "path", "left")
@@ -46,7 +53,29 @@ def verified(files: DataFrame) -> DataFrame:
     return out.select("path", "header.name", "header.container", "header.method", "header.size", F.coalesce("chunks", F.lit(0)).alias("chunks"), status.alias("status"))
 
 
-def _restored(rows: DataFrame, method: str) -> DataFrame:
-    made = restored(rows.withColumnRenamed("error", "record"), method, on_error="null")
-    fault = F.when(F.col("record").isNotNull(), F.col("record")).when(F.col("error").isNotNull() & (F.col("error") != "crc"), F.concat(F.lit("chunk "), F.col("error")))
-    return made.select("path", "chunk_idx", F.octet_length("data").alias("got"), F.crc32("data").alias("crc"), fault.alias("fault"))
+def _read(files: DataFrame) -> DataFrame:
+    return files.select("path", "content", headers(F.col("content")).alias("header"))
+
+
+def verified(files: DataFrame) -> DataFrame:
+    """(path, name, container, method, size, chunks, status) of archives (path, content): ok, or the
+    first fault: of the header, a record, a chunk, the whole size or the checksum."""
+    read = _read(files)
+    return _judged(read, written(_checked(read).drop("data"), "checked"))
+
+
+def restored_files(files: DataFrame) -> DataFrame:
+    """(path, name, chunk_idx, data) of the archives (path, content) that verify; of the others there is no row, so
+    nothing partial is ever restored."""
+    read = _read(files)
+    made = written(_checked(read), "restored")
+    sound = _judged(read, made).where("status = 'ok'").select("path", "name")
+    return made.join(sound, "path").select("path", "name", "chunk_idx", "data")
+
+
+def restore(files: DataFrame, folder: str) -> DataFrame:
+    """Write what the archives (path, content) hold to ``folder``, a file for each that verifies, and tell of all:
+    (path, name, container, method, size, chunks, status)."""
+    rows = restored_files(files)
+    write_archives(rows.select("name", F.col("chunk_idx").alias("place"), F.col("data").alias("piece")), folder)
+    return verified(files)

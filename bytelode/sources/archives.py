@@ -2,32 +2,33 @@
 
 Layout, big-endian: magic (4), version 1, method (1), flags (1), window (4), size (8), CRC-32 (4), length of
 the name (2), name, number of chunks (4); each record: packed size (4), original size (4, bit 31: stored
-as it is), payload.  Reading goes through Spark's ``binaryFile`` source, so any store it knows will do."""
+as it is), payload.  Whole archives are read through Spark's ``binaryFile`` source, larger ones record by record through
+``archive_chunks``."""
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.formats import METHODS, big_endian, read_big_endian
 
 RAW_BIT, MOST_CHUNKS = 1 << 31, 1_048_576
-CHUNK_SCHEMA = "path string, chunk_idx int, orig_sz long, raw boolean, packed binary, error string"
+CHUNK_SCHEMA = "path string, method int, chunk_idx int, orig_sz long, raw boolean, packed binary, error string"
+#: Records that a task reads at most.
+PER_TASK = 256
 
 
-def archives(files: DataFrame, container: str, method: str, window: int, key: str) -> DataFrame:
-    """(name, content): one archive for each ``name`` from chunk rows (name, chunk_idx, orig_sz, raw,
-    packed, csz) and files (name, size, crc32, parts).  An archive is one value, hence under 2 GB."""
+def records(chunks: DataFrame, files: DataFrame, container: str, method: str, window: int, key: str) -> DataFrame:
+    """(name, place, piece): what an archive of each ``name`` is written from, in order of ``place``: the header at -1, then a
+    record for each chunk.  From chunk rows (key, chunk_idx, orig_sz, raw, packed, csz) and files (key, size, crc32, parts)."""
     size = F.col("orig_sz") + F.when(F.col("raw"), F.lit(RAW_BIT)).otherwise(F.lit(0).cast("long"))
     record = F.concat(big_endian(F.col("csz"), 4), big_endian(size, 4), F.col("packed"))
-    rows = files.withColumn("__r", F.struct("chunk_idx", record.alias("r")))
-    body = rows.groupBy(key, "size", "crc32").agg(F.sort_array(F.collect_list("__r")).alias("rs"))
     name = F.encode(F.col(key).cast("string"), "UTF-8")
     head = F.concat(
         F.lit(container.upper().encode()),
@@ -36,14 +37,29 @@ def archives(files: DataFrame, container: str, method: str, window: int, key: st
         big_endian(F.col("crc32"), 4),
         big_endian(F.octet_length(name), 2),
         name,
-        big_endian(F.size("rs"), 4),
+        big_endian(F.col("parts"), 4),
     )
-    joined = F.aggregate(F.col("rs"), head, lambda acc, r: F.concat(acc, r["r"]))
-    return body.select(F.col(key).cast("string").alias("name"), joined.alias("content"))
+    named = F.col(key).cast("string").alias("name")
+    heads = files.select(named, F.lit(-1).alias("place"), head.alias("piece"))
+    return heads.unionByName(chunks.select(named, F.col("chunk_idx").alias("place"), record.alias("piece")))
+
+
+def archives(pieces: DataFrame) -> DataFrame:
+    """(name, content): the pieces of each archive put together into one value, hence under 1 GB; ``write_archives`` knows
+    no such bound."""
+    body = pieces.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("ps"))
+    return body.select("name", F.unhex(F.array_join(F.transform("ps", lambda p: F.hex(p["piece"])), "")).alias("content"))
+
+
+def write_archives(pieces: DataFrame, folder: str) -> None:
+    """Each archive as a file of ``folder``, piece after piece as they come in order; no archive is held whole."""
+    placed = pieces.select(F.col("name"), F.col("place").cast("int").alias("place"), F.col("piece").alias("content"))
+    placed.repartition("name").sortWithinPartitions("name", "place").write.format("archives").mode("append").save(folder)
 
 
 def headers(content: Column) -> Column:
-    """struct of the header's fields and ``error``: magic, version, method, short or null."""
+    """struct of the header's fields and ``error``: magic, version, method, short, chunks or null.  ``name`` has marks in
+    place of bytes that are not UTF-8, ``name_bytes`` has them as they are."""
     at = F.octet_length(content)
     magic = F.decode(F.substring(content, 1, 4), "ISO-8859-1")
     n = read_big_endian(content, 23, 2)
@@ -65,51 +81,127 @@ def headers(content: Column) -> Column:
         read_big_endian(content, 7, 4).alias("window"),
         F.when(at >= 19, F.conv(F.hex(F.substring(content, 12, 8)), 16, 10).cast("decimal(20,0)").cast("long")).alias("size"),
         read_big_endian(content, 19, 4).alias("crc32"),
-        F.decode(name, "UTF-8").alias("name"),
+        F.make_valid_utf8(name.cast("string")).alias("name"),
+        name.alias("name_bytes"),
         chunks.alias("n_chunks"),
         error.alias("error"),
     )
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, header, content) of every archive under ``path``."""
+    """(path, length, header, content) of every archive under ``path``; for archives under 2 GB each."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", headers(F.col("content")).alias("header"), "content")
 
 
 def chunk_rows(read: DataFrame) -> DataFrame:
-    """path, chunk_idx, orig_sz, raw, packed, error of all records of sound headers (columns path,
+    """path, method, chunk_idx, orig_sz, raw, packed, error of all records of sound headers (columns path,
     header, content); a record that runs past the end is reported and ends its archive."""
 
     def walk(frames) -> Iterator:
         import pandas as pd
 
         for frame in frames:
-            rows = []
-            for path, content, at, n in frame.itertuples(index=False):
-                for i in range(n):
-                    if at + 8 > len(content):
-                        rows.append((path, i, None, None, None, "cut off"))
-                        break
-                    csz, size = struct.unpack_from(">II", content, at)
-                    raw = bool(size & RAW_BIT)
-                    size &= RAW_BIT - 1
-                    used = size if raw else csz
-                    if at + 8 + used > len(content):
-                        rows.append((path, i, size, raw, None, "cut off"))
-                        break
-                    rows.append((path, i, size, raw, content[at + 8 : at + 8 + used], None))
-                    at += 8 + used
-            yield pd.DataFrame(rows, columns=["path", "chunk_idx", "orig_sz", "raw", "packed", "error"])
-
-    start = (F.octet_length(F.encode("header.name", "UTF-8")) + 29).cast("int")
-    sound = read.where("header.error IS NULL").select("path", "content", start.alias("at"), F.col("header.n_chunks").cast("int").alias("n"))
+            for path, method, content, at, n in frame.itertuples(index=False):
+                rows = [(path, method, *r) for r in _walked(io.BytesIO(content), len(content), at, 0, n)]
+                yield pd.DataFrame(rows, columns=["path", "method", "chunk_idx", "orig_sz", "raw", "packed", "error"])
+
+    start = (F.octet_length("header.name_bytes") + 29).cast("int")
+    sound = read.where("header.error IS NULL").select("path", "header.method", "content", start.alias("at"), F.col("header.n_chunks").cast("int").alias("n"))
     return sound.mapInPandas(walk, CHUNK_SCHEMA)
 
 
+def _walked(file, length: int, at: int, first: int, stop: int) -> Iterator[tuple]:
+    """chunk_idx, orig_sz, raw, packed, error of the records from ``first`` to ``stop``; those before are
+    passed over by their sizes."""
+    for i in range(stop):
+        file.seek(at)
+        sizes = file.read(8)
+        if len(sizes) < 8:
+            yield i, None, None, None, "cut off"
+            return
+        csz, size = struct.unpack(">II", sizes)
+        raw, size = bool(size & RAW_BIT), size & RAW_BIT - 1
+        used = size if raw else csz
+        if at + 8 + used > length:
+            yield i, size, raw, None, "cut off"
+            return
+        if i >= first:
+            yield i, size, raw, file.read(used), None
+        at += 8 + used
+
+
+class ArchiveChunks(DataSource):
+    """``spark.read.format("archive_chunks").load(folder)``: the chunk records of archives of any size.
+
+    Only headers are read to plan; each task reads ``per_task`` records of one archive, passing over those before.
+    ``folder`` is any address that pyarrow's file systems know.  With ``headersOnly`` one row for each archive is read, without
+    records: chunk_idx is null."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "archive_chunks"
+
+    def schema(self) -> str:
+        return f"{CHUNK_SCHEMA}, container string, size long, crc32 long, name binary, n_chunks long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Chunks(self.options["path"], self.options.get("headersonly", "false").lower() == "true", int(self.options.get("pertask", PER_TASK)))
+
+
+def _file_system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path.removeprefix('file:'))}")
+
+
+class _Part(InputPartition):
+    def __init__(self, file: str, length: int, head: tuple, at: int, first: int, stop: int):
+        self.file, self.length, self.head, self.at, self.first, self.stop = file, length, head, at, first, stop
+
+
+class _Chunks(DataSourceReader):
+    def __init__(self, path: str, heads_only: bool, per_task: int):
+        self.path, self.heads_only, self.per_task = path, heads_only, per_task
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, base = _file_system(self.path)
+        files = store.get_file_info(fs.FileSelector(base, recursive=True)) if store.get_file_info(base).type == fs.FileType.Directory else [store.get_file_info(base)]
+        out = []
+        for f in sorted((f for f in files if f.is_file and not f.base_name.startswith((".", "_"))), key=lambda f: f.path):
+            with store.open_input_file(f.path) as file:
+                start = file.read(25)
+                if len(start) < 25 or start[:4] not in (b"CZIP", b"CRAR") or start[4] != 1:
+                    out.append(_Part(f.path, f.size, (None, None, None, None, None, None), 0, 0, 0))
+                    continue
+                n = int.from_bytes(start[23:25], "big")
+                name, chunks = file.read(n), int.from_bytes(file.read(4), "big")
+            head = (start[:4].decode(), start[5], int.from_bytes(start[11:19], "big"), int.from_bytes(start[19:23], "big"), name, chunks)
+            stop = 0 if self.heads_only or not 0 < chunks <= MOST_CHUNKS else chunks
+            out += [_Part(f.path, f.size, head, 29 + n, lo, min(stop, lo + self.per_task)) for lo in range(0, max(stop, 1), self.per_task)]
+        return out
+
+    def read(self, part: _Part) -> Iterator[tuple]:
+        container, method, size, crc32, name, chunks = part.head
+        rest = (container, size, crc32, name, chunks)
+        if part.stop == 0:
+            fault = None if self.heads_only and container else "header"
+            yield (part.file, method, None, None, None, None, fault, *rest)
+            return
+        store, _ = _file_system(self.path)
+        with store.open_input_file(part.file) as file:
+            for row in _walked(file, part.length, part.at, part.first, part.stop):
+                if row[4] is None or row[0] >= part.first:  # a fault before this part is told by the part it is in
+                    yield (part.file, method, *row, *rest)
+
+
 class ArchiveFiles(DataSource):
-    """``df.write.format("archives").save(folder)`` for (name, content) rows: a file each, written aside
-    and named when its task commits, so a failed run leaves no partial archive.  Names keep no folders."""
+    """``df.write.format("archives").save(folder)`` for (name, content) rows, or for (name, place, content) rows that are sorted
+    by name and place and of which a name's are in one partition: a file for each name, written aside and named when all
+    tasks are done, so a failed run leaves no partial file.  Names keep no folders; two rows or two names that would be one
+    file are an error.  ``folder`` is any address that pyarrow's file systems know and all executors see."""
 
     @classmethod
     def name(cls) -> str:
@@ -119,35 +211,47 @@ class ArchiveFiles(DataSource):
         return "name string, content binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Files(self.options["path"])
+        return _Files(self.options["path"], "place" in schema.fieldNames())
 
 
 class _Files(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+    def __init__(self, path: str, pieces: bool):
+        self.path, self.pieces = path, pieces
 
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        folder = Path(self.path)
-        folder.mkdir(parents=True, exist_ok=True)
+        store, folder = _file_system(self.path)
+        store.create_dir(folder, recursive=True)
         mark = f".part-{TaskContext.get().taskAttemptId()}"
-        done = []
+        done, name, file = [], None, None
         for row in iterator:
-            name = os.path.basename(row["name"].replace("\\", "/")) or "archive"
-            aside = folder / f".{name}{mark}"
-            aside.write_bytes(row["content"])
-            done.append((str(aside), str(folder / name)))
+            if not self.pieces or row["name"] != name:
+                if file:
+                    file.close()
+                name = row["name"]
+                own = os.path.basename(name.replace("\\", "/")) or "archive"
+                aside = f"{folder}/.{len(done)}{mark}"
+                done.append((aside, f"{folder}/{own}"))
+                file = store.open_output_stream(aside)
+            file.write(row["content"])
+        if file:
+            file.close()
         message = WriterCommitMessage()
         message.files = done
         return message
 
     def commit(self, messages) -> None:
-        for message in messages:
-            for aside, name in message.files:
-                os.replace(aside, name)
+        store, _ = _file_system(self.path)
+        files = [f for message in messages for f in message.files]
+        if len({name for _, name in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("two rows or names would be one file")
+        for aside, name in files:
+            store.move(aside, name)
 
     def abort(self, messages) -> None:
+        store, _ = _file_system(self.path)
         for message in messages:
             for aside, _ in message.files if message else ():
-                Path(aside).unlink(missing_ok=True)
+                store.delete_file(aside)

@@ -108,6 +108,12 @@ def test_unknown_method():
         c.method_codecs("zip")
 
 
+def test_crc16_of_all():
+    values = [b"", b"123456789", random_bytes(1), random_bytes(70_000, 3), b"", random_bytes(5000, 5)]
+    assert checksums.crc16_of_all(values).tolist() == [checksums.crc16_of(v) for v in values]
+    assert checksums.crc16_of_all([]).tolist() == []
+
+
 def test_checksums():
     assert checksums.crc16_of(b"123456789") == 0xFEE8
     for a, b in ((b"", b"x"), (b"abc", b"hello"), (random_bytes(512), random_bytes(700, 7))):

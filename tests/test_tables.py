@@ -1,18 +1,21 @@
 """Operators on small tables: chunks, detection, archives, resume and streaming."""
 
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from bytelode.functions.checksums import combined_crc32, with_bytes_after
-from bytelode.functions.detect import detect
-from bytelode.functions.formats import big_endian, human_size, output_name, read_big_endian
+from bytelode.functions.detect import detect, packed_warning
+from bytelode.functions.formats import big_endian, format_name, human_size, method_name, output_name, ratio_text, read_big_endian
 from bytelode.operators.chunks import byte_histogram, chunked, context_counts
-from bytelode.operators.compression import compress, compressed, crc_of_files, restored
+from bytelode.functions.codecs import huffman_encode
+from bytelode.operators.compression import compress, compressed, crc_of_files, huffman_size, restored
 from bytelode.operators.resume import fingerprint, pending
-from bytelode.plans.archive_jobs import archive_table, verified
-from bytelode.sources.archives import ArchiveFiles, read_archives
+from bytelode.plans.archive_jobs import archive_files, archive_table, restore, verified
+from bytelode.sources.archives import ArchiveChunks, ArchiveFiles, read_archives
+from bytelode.sources.staging import Staging
 from bytelode.streaming.ingest import compress_arrivals
 
 BLOBS = {"a": b"hello world " * 40, "b": bytes(range(256)) * 3, "c": b"x", "empty": b"", "null": None}
@@ -53,6 +56,54 @@ def test_detect(spark, head, mime, text, archive):
     assert (d["mime"], d["is_text"], d["is_archive"]) == (mime, text, archive)
 
 
+# Fixed values, apart from the library's list: head, type, extension, archive
+SIGNED = [
+    ("504B0304", "application/zip", ".zip", True),
+    ("526172211A07", "application/x-rar", ".rar", True),
+    ("1F8B", "application/gzip", ".gz", True),
+    ("425A68", "application/x-bzip2", ".bz2", True),
+    ("FD377A585A00", "application/x-xz", ".xz", True),
+    ("377ABCAF271C", "application/x-7z", ".7z", True),
+    ("435A4950", "application/x-czip", ".czip", True),
+    ("43524152", "application/x-crar", ".crar", True),
+    ("89504E470D0A1A0A", "image/png", ".png", False),
+    ("FFD8FF", "image/jpeg", ".jpg", False),
+    ("47494638", "image/gif", ".gif", False),
+    ("424D", "image/bmp", ".bmp", False),
+    ("52494646", "image/webp", ".webp", False),
+    ("494433", "audio/mpeg", ".mp3", False),
+    ("0000000066747970", "video/mp4", ".mp4", False),
+    ("0000001866747970", "video/mp4", ".mp4", False),
+    ("25504446", "application/pdf", ".pdf", False),
+    ("D0CF11E0A1B11AE1", "application/msword", ".doc", False),
+    ("3C3F786D6C", "text/xml", ".xml", False),
+    ("3C68746D6C", "text/html", ".html", False),
+    ("7F454C46", "application/x-elf", ".elf", False),
+    ("4D5A", "application/x-msdownload", ".exe", False),
+    ("EFBBBF", "text/plain", ".txt", False),
+]
+
+
+def test_signatures(spark):
+    df = spark.createDataFrame([(i, bytes.fromhex(h)) for i, (h, *_) in enumerate(SIGNED)], "i int, b binary")
+    rows = df.select("i", detect(F.col("b")).alias("d"), packed_warning(F.col("b")).alias("w")).orderBy("i").collect()
+    assert [(r["d"]["mime"], r["d"]["extension"], r["d"]["is_archive"]) for r in rows] == [s[1:] for s in SIGNED]
+    assert [r["w"] is not None for r in rows] == [s[3] for s in SIGNED] and not any(r["d"]["is_text"] for r in rows)
+
+
+def test_statistics_of_groups_and_cuts(spark):
+    values = [bytes([i % 7, 200, i % 3]) * (i % 50) for i in range(300)]
+    df = spark.createDataFrame([(i % 4, v) for i, v in enumerate(values)], "g int, b binary")
+    want, pairs = Counter(), Counter()
+    for i, v in enumerate(values):
+        want.update((i % 4, x) for x in v)
+        pairs.update(zip(v, v[1:]))
+    assert {(r["g"], r["byte"]): r["n"] for r in byte_histogram(df, "b", "g").collect()} == want
+    assert {(r["prev"], r["byte"]): r["n"] for r in context_counts(df, "b").collect()} == pairs
+    sizes = df.select("b", huffman_size("b").alias("n")).collect()
+    assert all(r["n"] == len(huffman_encode(bytes(r["b"]))) for r in sizes)
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(b"aab",), (b"ba",), (b"",), (None,)], "b binary")
     assert {r["byte"]: r["n"] for r in byte_histogram(df, "b").collect()} == {97: 3, 98: 2}
@@ -70,6 +121,11 @@ def test_formats(spark):
     assert tuple(row) == ("5 B", "1 KB", "3 MB", "2.5 GB", "x", ".czip_restored", 0xDEADBEEF, None)
 
 
+def test_names(spark):
+    row = spark.range(1).select(*(method_name(F.lit(m)).alias(m) for m in ("huffman", "lz77", "lzss_rnc")), *(format_name(F.lit(c)).alias(c) for c in ("czip", "crar")), ratio_text(F.lit(0.1234)).alias("r")).first()
+    assert tuple(row) == ("Huffman", "LZ77 + Huffman", "LZSS + RNC", "CZIP", "CRAR", "12.3%")
+
+
 def test_corpus_crc(spark):
     parts = [(g, i, f"{g}{i}".encode() * i) for g in "xy" for i in range(30)]
     rows = spark.createDataFrame(parts, "g string, i int, d binary").select("g", "i", F.crc32("d").alias("c"), F.octet_length("d").alias("n"))
@@ -112,6 +168,56 @@ def test_archives(spark, blobs, tmp_path):
     assert status == {k: k for k in bad}
 
 
+def test_archives_of_any_size(spark, blobs, tmp_path):
+    for source in (ArchiveFiles, ArchiveChunks):
+        spark.dataSource.register(source)
+    archive_files(blobs, "id", "data", str(tmp_path / "out"), "crar", "lzss_rnc", 100)
+    whole = {r["name"]: bytes(r["content"]) for r in archive_table(blobs, "id", "data", "crar", "lzss_rnc", 100).collect()}
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir() if f.name[0] != "."} == whole
+    (tmp_path / "out" / "b").write_bytes(whole["b"][:-4])
+    rows = spark.read.format("archive_chunks").option("perTask", "3").load(str(tmp_path / "out")).collect()
+    assert Counter((bytes(r["name"]), r["error"]) for r in rows) == {(b"a", None): 5, (b"b", None): 7, (b"b", "cut off"): 1, (b"c", None): 1}
+    assert len({(r["path"], r["chunk_idx"]) for r in rows}) == len(rows)
+    heads = spark.read.format("archive_chunks").option("headersOnly", "true").load(str(tmp_path / "out")).collect()
+    assert sorted((bytes(r["name"]), r["n_chunks"], r["size"]) for r in heads) == [(b"a", 5, 480), (b"b", 8, 768), (b"c", 1, 1)]
+    told = restore(read_archives(spark, str(tmp_path / "out")), str(tmp_path / "back"))
+    assert {r["name"]: r["status"] for r in told.collect()} == {"a": "ok", "b": "cut off", "c": "ok"}
+    assert {f.name: f.read_bytes() for f in (tmp_path / "back").iterdir() if f.name[0] != "."} == {k: BLOBS[k] for k in "ac"}
+
+
+def test_odd_names_and_first_faults(spark, blobs, tmp_path):
+    whole = {r["name"]: bytes(r["content"]) for r in archive_table(blobs, "id", "data", "czip", "huffman", 100).collect()}
+    named = whole["c"][:25] + b"\xff" + whole["c"][26:]
+    first = whole["b"].index((100).to_bytes(4, "big"), 30) - 4
+    broken = bytearray(whole["b"])
+    for at in (first, len(broken) - 30):  # the first record's packed bytes run past the end, a later one is changed
+        broken[at : at + 1] = b"\x7f"
+    files = spark.createDataFrame([("n", named), ("f", bytes(broken))], "path string, content binary")
+    got = {r["path"]: (r["name"], r["status"]) for r in verified(files).collect()}
+    assert got["n"] == ("\ufffd", "ok") and got["f"][1] != "ok"
+    spark.dataSource.register(ArchiveFiles)
+    two = spark.createDataFrame([("x/a", b"1"), ("y/a", b"2")], "name string, content binary")
+    with pytest.raises(Exception, match="one file"):
+        two.write.format("archives").mode("append").save(str(tmp_path / "two"))
+    assert not [f for f in (tmp_path / "two").iterdir() if not f.name.endswith(".crc")]
+
+
+def test_staging_goes_on_from_an_earlier_run(spark, blobs, tmp_path):
+    options = fingerprint(method="huffman")
+    chunks = chunked(blobs, "id", "data", 200)
+    staging = Staging(spark, str(tmp_path / "staging"))
+    assert not staging.exists()
+    staging.save(compressed(chunks.where("chunk_idx < 2"), "huffman").drop("data").withColumn("options", F.lit(options)))
+    (tmp_path / "staging" / "part=broken").mkdir()  # of a run that broke off
+    again = Staging(spark, str(tmp_path / "staging"))
+    left = pending(chunks, again.load(), "id", options)
+    assert {(r["id"], r["chunk_idx"]) for r in left.collect()} == {("a", 2), ("b", 2), ("b", 3)}
+    again.save(compressed(left, "huffman").drop("data").withColumn("options", F.lit(options)))
+    assert again.load().count() == chunks.count() and not pending(chunks, again.load(), "id", options).count()
+    again.remove()
+    assert not again.exists() and not (tmp_path / "staging").exists()
+
+
 def test_resume(blobs):
     options = fingerprint(method="huffman")
     chunks = chunked(blobs, "id", "data", 200)
