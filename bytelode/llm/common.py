@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_folder
+
 #: White space of the word contract ``[^\x20\x09-\x0D]+``, as a Java character class.
 SPACE = r"[ \t-\r]+"
 
@@ -23,27 +24,23 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        context = spark.sparkContext
-        path = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-        if not path:
-            path = tempfile.mkdtemp(prefix="spark-")
-            context.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, a lost
     executor costs nothing that lies before, and row numbers taken by tasks stay as written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a ``staged`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with the number of each row in __row, as a written table: numbers taken anew by another job
     could differ."""
@@ -51,7 +48,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -68,6 +65,6 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is: then Spark
-    shuffles.  ``df`` should be cheap to read again (a written table)."""
+    """``df``, of columns of fixed width, marked for broadcast if it has at most ``most_rows`` rows, else as it is: then
+    Spark shuffles.  ``df`` should be cheap to read again (a written table)."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
