@@ -199,7 +199,7 @@ def test_state_is_carried_through_whole_documents():
     model = gru()
     rng = np.random.default_rng(3)
     model.class_w = rng.normal(0, 1, model.class_w.shape).astype(np.float32)
-    docs = [np.append(rng.integers(1, 44, n), 0).astype(np.int32) for n in (1, 5, 300, 70, 2)]
+    docs = [np.append(rng.integers(1, 44, n), 0).astype(np.int32) for n in (1, 5, 300, 70, 2, 1300)]
     together = model.score(docs)
     alone = [model.score([d])[0] for d in docs]
     assert np.allclose(together, alone, rtol=1e-4)
