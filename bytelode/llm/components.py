@@ -62,6 +62,7 @@ def linked(
     verify: Callable[[DataFrame], DataFrame],
     rest: Callable[[DataFrame], DataFrame] | None = None,
     most_rounds: int = 3,
+    first: str | None = None,
 ) -> DataFrame:
     """Components (node, comp) of the verified links between ids that share a bucket (key, id, code).
 
@@ -70,16 +71,19 @@ def linked(
 
     Every id of a bucket is first compared with a pivot of it; ids already known to be connected
     need no comparison, so a bucket of n alike ids costs n comparisons, not n squared.  The first pivot is
-    the id whose buckets hold the most rows: what a group was copied from shares most with all others.
+    the least by the column ``first``, or else the id whose buckets hold the most rows: what a group was copied from shares
+    most with all others.
     Buckets that then hold at most ``FEW`` pairs of unconnected ids for each of their rows are compared pair by pair;
     the others meet further pivots, and what is left of them after ``most_rounds`` is given to ``rest``: it finds the pairs among
     ids (id, comp), all that ``verify`` can hold, without going through buckets.  (Without ``rest`` they are compared
     pair by pair.)  ``verify`` takes distinct pairs (x, y), x < y, and returns those that hold, as a written table (u, v)."""
-    rows = _weighed(buckets)
+    rows = _weighed(buckets) if first is None else staged(buckets.withColumn("weight", -F.col(first)), "buckets")
     found = verify(_with_pivots(rows.withColumn("comp", F.col("id")), 0, near).distinct())
     links, comps = found, checkpointed(components(found))
     for turn in range(1, most_rounds + 1):
-        rows = checkpointed(_open(rows, comps))
+        before, rows = rows, checkpointed(_open(rows, comps))
+        if turn == 1:
+            dropped(before)
         some = rows.where("few")
         many = rows.where("NOT few")
         left = many.limit(1).count()
@@ -102,7 +106,7 @@ def linked(
 
 def _with_pivots(rows: DataFrame, turn: int, near: Callable[[Column, Column], Column]) -> DataFrame:
     """Pairs (x, y) of the ids of each bucket with one of them."""
-    order = F.struct(F.when(F.lit(turn) == 0, -F.col("weight")), F.xxhash64("id", F.pmod("key", F.lit(3)), F.lit(turn)))
+    order = F.struct(F.when(F.lit(turn) == 0, -F.col("weight")).otherwise(0), F.xxhash64("id", F.pmod("key", F.lit(3)), F.lit(turn)))
     pivots = rows.groupBy("key").agg(F.min_by(F.struct("id", "comp", "code"), order).alias("p"))
     pairs = rows.join(pivots, "key").where("comp <> p.comp").where(near(F.col("code"), F.col("p.code")))
     return pairs.select(F.least("id", "p.id").alias("x"), F.greatest("id", "p.id").alias("y"))

@@ -127,12 +127,11 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20)
         wanted = checkpointed(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
         texts = staged(rows.select("id", "norm").join(bounded_broadcast(wanted, MOST_SENT), "id"), "texts")
         tx, ty = (texts.select(F.col("id").alias(i), F.col("norm").alias(f"t{i}")) for i in "xy")
-        # rows are small and each takes long: they are dealt out by their number, not by their bytes, and the test of
-        # the task's number keeps the distance from being taken before
-        both = pairs.join(tx, "x").join(ty, "y").repartition(max(8, pairs.count() // PER_TASK)).withColumn("task", F.spark_partition_id())
-        return checkpointed(both.where(similar("tx", "ty", similarity) & (F.col("task") >= 0)).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        # rows are small and each takes long, so they are dealt out by their number, not by their bytes
+        both = pairs.join(tx, "x").repartition(max(8, pairs.count() // PER_TASK), "y").join(ty, "y")
+        return checkpointed(both.where(similar("tx", "ty", similarity)).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
-    comps = linked(buckets, near, verify)
+    comps = linked(buckets, near, verify, first="id")
     groups = distinct.join(comps, distinct["id"] == comps["node"], "left").select("digest", "id", "times", F.coalesce("comp", "id").alias("stays"))
     groups = groups.where("times > 1 OR id <> stays").select("digest", "stays")
     gone = rows.select("row", "pos", "digest", "id").join(groups, "digest").where("id <> stays")
