@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,13 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of jobs that nothing refers to any more: its cleaner goes by the driver's garbage
+    collection, which a driver with little to do puts off while executors' disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with the number of each row in __row, as a written table: numbers taken anew by another job
     could differ."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, dropped, staged
+from .common import checkpointed, dropped, released, staged
 
 #: Edges a task takes.
 PER_TASK = 500_000
@@ -84,6 +84,8 @@ def linked(
         before, rows = rows, checkpointed(_open(rows, comps))
         if turn == 1:
             dropped(before)
+        del before
+        released(rows.sparkSession)
         some = rows.where("few")
         many = rows.where("NOT few")
         left = many.limit(1).count()

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, checkpointed, numbered, staged
+from .common import bounded_broadcast, checkpointed, dropped, numbered, staged
 from .components import linked
 
 #: Pairs of lines whose distance a task takes.
@@ -129,7 +129,9 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, shortest: int = 20)
         tx, ty = (texts.select(F.col("id").alias(i), F.col("norm").alias(f"t{i}")) for i in "xy")
         # rows are small and each takes long, so they are dealt out by their number, not by their bytes
         both = pairs.join(tx, "x").repartition(max(8, pairs.count() // PER_TASK), "y").join(ty, "y")
-        return checkpointed(both.where(similar("tx", "ty", similarity)).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        found = checkpointed(both.where(similar("tx", "ty", similarity)).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        dropped(texts)
+        return found
 
     comps = linked(buckets, near, verify, first="id")
     groups = distinct.join(comps, distinct["id"] == comps["node"], "left").select("digest", "id", "times", F.coalesce("comp", "id").alias("stays"))
