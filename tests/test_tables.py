@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bytelode.functions.checksums import combined_crc32, with_bytes_after
 from bytelode.functions.detect import detect, packed_warning
-from bytelode.functions.formats import big_endian, format_name, human_size, method_name, output_name, ratio_text, read_big_endian
+from bytelode.functions.formats import big_endian, format_name, human_size, method_name, one_decimal, output_name, ratio_text, read_big_endian
 from bytelode.operators.chunks import byte_histogram, chunked, context_counts
 from bytelode.functions.codecs import huffman_encode
 from bytelode.operators.compression import compress, compressed, crc_of_files, huffman_size, restored
@@ -126,6 +126,17 @@ def test_names(spark):
     assert tuple(row) == ("Huffman", "LZ77 + Huffman", "LZSS + RNC", "CZIP", "CRAR", "12.3%")
 
 
+def test_one_decimal_is_that_of_c(spark):
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 0.75, 0.95, 0.96, 6.25, 6.75, 9.95, 99.95, -6.25, 2.0**40 + 0.75, 2.0**49 + 0.5]
+    values += [n * 25 / 2048 for n in range(0, 60_000, 64)] + [n / 20 for n in range(4000)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", one_decimal(F.col("x")).alias("s"), ratio_text(F.col("x") / 100).alias("r")).collect()
+    assert [r["s"] for r in rows] == [f"{r['x']:.1f}" for r in rows]
+    assert [r["r"] for r in rows] == [f"{r['x'] / 100 * 100:.1f}%" for r in rows]
+    sizes = [(2 * k + 1) << 28 for k in range(4, 40)]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select(human_size(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [f"{n / 2**30:.1f} GB" for n in sizes]
+
+
 def test_corpus_crc(spark):
     parts = [(g, i, f"{g}{i}".encode() * i) for g in "xy" for i in range(30)]
     rows = spark.createDataFrame(parts, "g string, i int, d binary").select("g", "i", F.crc32("d").alias("c"), F.octet_length("d").alias("n"))
