@@ -6,10 +6,11 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 POLY32, POLY16 = 0xEDB88320, 0x8005
 
@@ -50,23 +51,28 @@ def _shifted16() -> np.ndarray:
     return out
 
 
-def crc16_of_all(values: list[bytes]) -> np.ndarray:
-    """CRC-16 of each value: the sum without carry of its bytes' remainders, each shifted by the bytes behind it."""
-    sizes = np.array([len(v) for v in values], np.int64)
-    ends = np.cumsum(sizes)
+def crc16_of_all(values: list[bytes], part: int = 1 << 17) -> np.ndarray:
+    """CRC-16 of each value: the sum without carry of its bytes' remainders, each shifted by the bytes behind it; ``part`` bytes are
+    worked on at once."""
+    ends = np.cumsum([len(v) for v in values], dtype=np.int64)
     data = np.frombuffer(b"".join(values), np.uint8)
     out = np.zeros(len(values), np.int64)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        behind = np.repeat(ends, sizes) - np.arange(len(data)) - 1
-        out[full] = np.bitwise_xor.reduceat(_shifted16()[behind % CYCLE16, data], (ends - sizes)[full])
+    for lo in range(0, len(data), part):
+        at = np.arange(lo, min(lo + part, len(data)))
+        of = np.searchsorted(ends, at, "right")
+        heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        out[of[heads]] ^= np.bitwise_xor.reduceat(_shifted16()[(ends[of] - at - 1) % CYCLE16, data[at]], heads)
     return out
 
 
-@pandas_udf(T.LongType())
-def crc16(content: pd.Series) -> pd.Series:
-    known = content.dropna()
-    return pd.Series(crc16_of_all([bytes(x) for x in known]), index=known.index).reindex(content.index).astype("Int64")
+@arrow_udf(T.LongType())
+def crc16(content: pa.Array) -> pa.Array:
+    out = []
+    for lo in range(0, len(content), 256):
+        values = content[lo : lo + 256].to_pylist()
+        known = iter(crc16_of_all([v for v in values if v is not None]).tolist())
+        out.append(pa.array([None if v is None else next(known) for v in values], pa.int64()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.int64())
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:

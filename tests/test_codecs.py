@@ -1,6 +1,7 @@
 """Hand-made vectors, round trips, corruption and tie-breaks of the codecs and checksums."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -118,3 +119,20 @@ def test_checksums():
     assert checksums.crc16_of(b"123456789") == 0xFEE8
     for a, b in ((b"", b"x"), (b"abc", b"hello"), (random_bytes(512), random_bytes(700, 7))):
         assert checksums.shifted(zlib.crc32(a), len(b)) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def peak(run) -> int:
+    run()
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_crc16_holds_no_words_for_a_batch():
+    values = [random_bytes(1 << 17, k) for k in range(16)]
+    few, many = (peak(lambda: checksums.crc16_of_all(values[:n])) for n in (4, 16))
+    assert many - few < 4 * (12 << 17)  # less than four bytes for each more
+    assert checksums.crc16_of_all(values[:3], 1000).tolist() == checksums.crc16_of_all(values[:3]).tolist()
