@@ -1,16 +1,19 @@
 """Hand-made vectors, round trips, corruption and tie-breaks of the codecs and checksums."""
 
 import random
+import time
 import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bytelode.functions import checksums
 from bytelode.functions import codecs as c
+from bytelode.functions import tokens
 
 H = bytes.fromhex
 METHODS = ("huffman", "lz77", "lzss_rnc", "lz77_only", "lzss_only", "rnc_only")
@@ -136,3 +139,80 @@ def test_crc16_holds_no_words_for_a_batch():
     few, many = (peak(lambda: checksums.crc16_of_all(values[:n])) for n in (4, 16))
     assert many - few < 4 * (12 << 17)  # less than four bytes for each more
     assert checksums.crc16_of_all(values[:3], 1000).tolist() == checksums.crc16_of_all(values[:3]).tolist()
+
+
+def small_inputs():
+    rng = random.Random(5)
+    return [b"", b"a", *INPUTS[1:7], *(bytes(rng.randrange(k) for _ in range(rng.choice((1, 2, 3, 9, 200, 900)))) for k in (1, 2, 3, 26) for _ in range(8))]
+
+
+def plain_parse(data, window, longest, chain):
+    out, at = [], 0
+    while at < len(data):
+        places = [p for p in range(max(0, at - window), at) if data[p : p + 3] == data[at : at + 3] and at + 3 <= len(data)][-chain:]
+        best = (0, data[at])
+        for p in reversed(places):
+            k = 3
+            while k < longest and at + k < len(data) and data[p + k] == data[at + k]:
+                k += 1
+            if k > (best[1] if best[0] else 2):
+                best = (at - p, k)
+        out.append(best)
+        at += best[1] if best[0] else 1
+    return out
+
+
+@pytest.mark.parametrize("part", [300, 1 << 17])
+def test_tokens_are_those_of_a_plain_search(monkeypatch, part):
+    monkeypatch.setattr(tokens, "PART", part)
+    values = [v[:1500] for v in small_inputs()]
+    for window, longest, chain in ((4096, 18, 16), (100, 258, 8)):
+        for value in values:
+            assert list(c._parse(value, window, longest, chain)) == plain_parse(value, window, longest, chain)
+    for value in values:
+        data, starts, ends = tokens.joined([b"before", value, b"", b"behind"])
+        distance, length = tokens.oldest(data, starts, ends, c.BLOCK, 17)
+        got = list(zip(distance.tolist(), length.tolist()))[6 : 6 + len(value)]
+        assert got == [c._oldest_match(value, at, len(value)) for at in range(len(value))]
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_many_values_are_encoded_as_each_alone(monkeypatch, method):
+    values = small_inputs()
+    encode_all, decode = c._pair(method)
+    alone = [encode_all([v])[0] for v in values]
+    monkeypatch.setattr(tokens, "PART", 1000)
+    assert encode_all(values) == alone and [decode(x) for x in alone] == values
+
+
+def test_long_huffman_codes():
+    lengths = bytearray(256)
+    lengths[:60] = range(1, 61)
+    bits = "110" + "0" + "1" * 59 + "0"  # symbols 2, 0 and 59
+    pad = -len(bits) % 8
+    body = int(bits + "0" * pad, 2).to_bytes((len(bits) + pad) // 8, "big")
+    assert c.huffman_decode(bytes(lengths) + (3).to_bytes(8, "big") + bytes([pad]) + body) == bytes([2, 0, 59])
+    with pytest.raises(ValueError):
+        c.huffman_decode(bytes(lengths) + (3).to_bytes(8, "big") + bytes([0]) + b"\xff" * 9)
+
+
+@pytest.mark.parametrize("method,most", [("huffman", 4), ("lz77", 15), ("lzss_rnc", 15), ("lz77_only", 9), ("lzss_only", 9), ("rnc_only", 9)])
+def test_codecs_take_little_time_and_memory(method, most):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    values = [" ".join(rng.choice(words) for _ in range(500)).encode() for _ in range(64)]
+    encode, decode = c.encoder(method).func, c.decoder(method).func
+
+    def run(times):
+        batch = pa.array(values * times, pa.binary())
+        assert decode(encode(batch)).equals(batch)
+
+    def seconds(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    run(1)
+    plain = min(seconds(lambda: [checksums.crc16_of(v) for v in values]) for _ in range(3))
+    assert min(seconds(lambda: run(1)) for _ in range(3)) < most * plain  # a loop over the bytes in Python, that many times
+    assert peak(lambda: run(4)) < 48 << 20
