@@ -12,6 +12,7 @@ import os
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -20,6 +21,7 @@ from ..functions.formats import METHODS, big_endian, read_big_endian
 
 RAW_BIT, MOST_CHUNKS = 1 << 31, 1_048_576
 CHUNK_SCHEMA = "path string, method int, chunk_idx int, orig_sz long, raw boolean, packed binary, error string"
+CHUNK_TYPES = {"path": pa.string(), "method": pa.int32(), "chunk_idx": pa.int32(), "orig_sz": pa.int64(), "raw": pa.bool_(), "packed": pa.binary(), "error": pa.string()}
 #: Records that a task reads at most.
 PER_TASK = 256
 
@@ -94,21 +96,32 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", headers(F.col("content")).alias("header"), "content")
 
 
-def chunk_rows(read: DataFrame) -> DataFrame:
-    """path, method, chunk_idx, orig_sz, raw, packed, error of all records of sound headers (columns path,
-    header, content); a record that runs past the end is reported and ends its archive."""
+def record_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Rows of CHUNK_SCHEMA, about ``most`` bytes at a time, of archives (content, path, method, at, n), which are taken one by one."""
+    rows, held = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), CHUNK_TYPES.values())], names=list(CHUNK_TYPES))
 
-    def walk(frames) -> Iterator:
-        import pandas as pd
+    for batch in batches:
+        for i in range(batch.num_rows):
+            content, path, method, at, n = (c[i].as_py() for c in batch.columns)
+            for row in _walked(io.BytesIO(content), len(content), at, 0, n):
+                rows.append((path, method, *row))
+                held += len(row[3] or b"") + 64
+                if held > most:
+                    yield made()
+                    rows, held = [], 0
+    if rows:
+        yield made()
 
-        for frame in frames:
-            for path, method, content, at, n in frame.itertuples(index=False):
-                rows = [(path, method, *r) for r in _walked(io.BytesIO(content), len(content), at, 0, n)]
-                yield pd.DataFrame(rows, columns=["path", "method", "chunk_idx", "orig_sz", "raw", "packed", "error"])
 
+def chunk_rows(read: DataFrame) -> DataFrame:
+    """path, method, chunk_idx, orig_sz, raw, packed, error of all records of sound headers (columns path,
+    header, content); a record that runs past the end is reported and ends its archive."""
     start = (F.octet_length("header.name_bytes") + 29).cast("int")
-    sound = read.where("header.error IS NULL").select("path", "header.method", "content", start.alias("at"), F.col("header.n_chunks").cast("int").alias("n"))
-    return sound.mapInPandas(walk, CHUNK_SCHEMA)
+    sound = read.where("header.error IS NULL").select("content", "path", "header.method", start.alias("at"), F.col("header.n_chunks").cast("int").alias("n"))
+    return sound.mapInArrow(record_batches, CHUNK_SCHEMA)
 
 
 def _walked(file, length: int, at: int, first: int, stop: int) -> Iterator[tuple]:

@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from bytelode.functions.codecs import huffman_encode
 from bytelode.operators.compression import compress, compressed, crc_of_files, huffman_size, restored
 from bytelode.operators.resume import fingerprint, pending
 from bytelode.plans.archive_jobs import archive_files, archive_table, restore, verified
-from bytelode.sources.archives import ArchiveChunks, ArchiveFiles, read_archives
+from bytelode.sources.archives import ArchiveChunks, ArchiveFiles, read_archives, record_batches
 from bytelode.sources.staging import Staging
 from bytelode.streaming.ingest import compress_arrivals
 
@@ -196,6 +197,16 @@ def test_archives_of_any_size(spark, blobs, tmp_path):
     assert {f.name: f.read_bytes() for f in (tmp_path / "back").iterdir() if f.name[0] != "."} == {k: BLOBS[k] for k in "ac"}
 
 
+def test_records_come_in_batches_of_many_archives():
+    content = b"".join(n.to_bytes(4, "big") + (n | 1 << 31).to_bytes(4, "big") + bytes(n) for n in (1000, 500))
+    rows = 3000
+    read = pa.RecordBatch.from_arrays([pa.array(x) for x in ([content] * rows, [str(i) for i in range(rows)], [0] * rows, [0] * rows, [2] * rows)], names=["content", "path", "method", "at", "n"])
+    made = list(record_batches(iter([read])))
+    assert len(made) < 6 and all(b.nbytes < 3 << 20 for b in made)
+    got = [r for b in made for r in b.to_pylist()]
+    assert [(r["path"], r["chunk_idx"], len(r["packed"]), r["raw"], r["error"]) for r in got] == [(str(i), k, n, True, None) for i in range(rows) for k, n in enumerate((1000, 500))]
+
+
 def test_odd_names_and_first_faults(spark, blobs, tmp_path):
     whole = {r["name"]: bytes(r["content"]) for r in archive_table(blobs, "id", "data", "czip", "huffman", 100).collect()}
     named = whole["c"][:25] + b"\xff" + whole["c"][26:]
