@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,25 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Spark's limit for what it hands to Python at once, which is as good as none by default, and that of staging tables.
+LIMIT, MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python gets Arrow batches of about ``MOST_BYTES`` in jobs that run within, a longer row alone, so that workers' memory follows
+    neither the table nor the size of its rows."""
+    old = spark.conf.get(LIMIT)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(old) <= MOST_BYTES:
+        yield
+        return
+    spark.conf.set(LIMIT, str(MOST_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(LIMIT, old)
+
+
 class Staging:
     """A table of parts under ``path``, which all executors share.  Every save is a part of its own, written
     aside by Spark and named when it is complete, so a run that breaks off leaves whole parts only."""
@@ -47,7 +68,8 @@ class Staging:
         return bool(self._parts())
 
     def save(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/part={uuid.uuid4().hex}")
+        with small_batches(self.spark):
+            rows.write.parquet(f"{self.path}/part={uuid.uuid4().hex}")
 
     def load(self) -> DataFrame:
         """All complete parts; raises if there are none, see ``exists``."""
