@@ -7,14 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf, pandas_udf
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from ..functions.checksums import combined_crc32
-from ..functions.codecs import decoder, encoder, in_slices, method_codecs
+from ..functions.codecs import decoder, encoder, method_codecs
 from ..functions.formats import ALLOWED, METHODS
 from .chunks import CHUNK, chunked
 
@@ -57,18 +56,15 @@ def restored(chunks: DataFrame, method: str, on_error: str = "fail") -> DataFram
     return rows.withColumn("error", error)
 
 
-@arrow_udf(BinaryType())
-def decoded(content: pa.Array, method: pa.Array) -> pa.Array:
-    """Chunks decoded by the codes of their methods; null where one does not decode."""
-    codecs = {code: method_codecs(name)[1] for name, code in METHODS.items()}
+_DECODERS = {code: method_codecs(name)[1] for name, code in METHODS.items()}
 
-    def one(value, code):
-        try:
-            return None if value is None else codecs[code](value)
-        except (ValueError, KeyError):
-            return None
 
-    return in_slices(lambda values, codes: list(map(one, values, codes)), content, method)
+def decoded(packed: bytes, method: int) -> bytes | None:
+    """A chunk decoded by the code of its method; null if it does not decode."""
+    try:
+        return _DECODERS[method](packed)
+    except (ValueError, KeyError):
+        return None
 
 
 def crc_of_files(chunks: DataFrame, by: str, chunk: int = CHUNK) -> DataFrame:

@@ -29,20 +29,15 @@ def archive_files(df: DataFrame, key: str, payload: str, folder: str, container:
     write_archives(archive_pieces(df, key, payload, container, method, chunk, window), folder)
 
 
-def _checked(read: DataFrame) -> DataFrame:
-    """path, chunk_idx, data, got, crc, fault of every chunk."""
-    rows = chunk_rows(read).withColumn("__coded", decoded(F.when(~F.col("raw"), F.col("packed")), F.col("method")))
-    rows = rows.withColumn("data", F.when(F.col("raw"), F.col("packed")).otherwise(F.col("__coded")))
-    fault = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("data").isNull(), "chunk decode").when(F.octet_length("data") != F.col("orig_sz"), "chunk size")
-    return rows.select("path", "chunk_idx", "data", F.octet_length("data").cast("long").alias("got"), F.crc32("data").alias("crc"), fault.alias("fault"))
-
-
-def _judged(read: DataFrame, checked: DataFrame) -> DataFrame:
+def _judged(checked: DataFrame) -> DataFrame:
+    """(path, name, container, method, size, chunks, status) from the rows of ``chunk_rows``, as a written table."""
+    read = checked.where("head IS NOT NULL").select("path", headers(F.col("head")).alias("header"))
+    checked = checked.where("head IS NULL").select("path", "chunk_idx", "got", "crc", "fault")
     first = F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("chunk_idx")))
     sums = checked.groupBy("path").agg(F.sum("got").alias("got_size"), F.count("*").alias("chunks"), first.alias("first_fault"), F.max("got").alias("full"))
     placed = checked.join(sums, "path").withColumn("after", F.col("got_size") - F.col("chunk_idx") * F.col("full") - F.col("got"))
     crcs = combined_crc32(placed.where("first_fault IS NULL AND after >= 0"), ["path"], "crc", "after").select("path", F.col("crc32").alias("got_crc"))
-    out = read.select("path", "header").join(sums, "path", "left").join(crcs, "path", "left")
+    out = read.join(sums, "path", "left").join(crcs, "path", "left")
     status = (
         F.when(F.col("header.error").isNotNull(), F.col("header.error"))
         .when(F.col("first_fault").isNotNull(), F.col("first_fault"))
@@ -53,24 +48,18 @@ def _judged(read: DataFrame, checked: DataFrame) -> DataFrame:
     return out.select("path", "header.name", "header.container", "header.method", "header.size", F.coalesce("chunks", F.lit(0)).alias("chunks"), status.alias("status"))
 
 
-def _read(files: DataFrame) -> DataFrame:
-    return files.select("path", "content", headers(F.col("content")).alias("header"))
-
-
 def verified(files: DataFrame) -> DataFrame:
     """(path, name, container, method, size, chunks, status) of archives (path, content): ok, or the
     first fault: of the header, a record, a chunk, the whole size or the checksum."""
-    read = _read(files)
-    return _judged(read, written(_checked(read).drop("data"), "checked"))
+    return _judged(written(chunk_rows(files, decoded, False), "checked"))
 
 
 def restored_files(files: DataFrame) -> DataFrame:
     """(path, name, chunk_idx, data) of the archives (path, content) that verify; of the others there is no row, so
     nothing partial is ever restored."""
-    read = _read(files)
-    made = written(_checked(read), "restored")
-    sound = _judged(read, made).where("status = 'ok'").select("path", "name")
-    return made.join(sound, "path").select("path", "name", "chunk_idx", "data")
+    made = written(chunk_rows(files, decoded, True), "restored")
+    sound = _judged(made).where("status = 'ok'").select("path", "name")
+    return made.where("head IS NULL").join(sound, "path").select("path", "name", "chunk_idx", "data")
 
 
 def restore(files: DataFrame, folder: str) -> DataFrame:

@@ -10,18 +10,22 @@ from __future__ import annotations
 import io
 import os
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.formats import METHODS, big_endian, read_big_endian
+from ..functions.tokens import ranges
 
 RAW_BIT, MOST_CHUNKS = 1 << 31, 1_048_576
 CHUNK_SCHEMA = "path string, method int, chunk_idx int, orig_sz long, raw boolean, packed binary, error string"
 CHUNK_TYPES = {"path": pa.string(), "method": pa.int32(), "chunk_idx": pa.int32(), "orig_sz": pa.int64(), "raw": pa.bool_(), "packed": pa.binary(), "error": pa.string()}
+CHECKED_TYPES = {"path": pa.string(), "head": pa.binary(), "chunk_idx": pa.int32(), "got": pa.int64(), "crc": pa.int64(), "fault": pa.string(), "data": pa.binary()}
 #: Records that a task reads at most.
 PER_TASK = 256
 
@@ -50,7 +54,8 @@ def archives(pieces: DataFrame) -> DataFrame:
     """(name, content): the pieces of each archive put together into one value, hence under 1 GB; ``write_archives`` knows
     no such bound."""
     body = pieces.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("ps"))
-    return body.select("name", F.unhex(F.array_join(F.transform("ps", lambda p: F.hex(p["piece"])), "")).alias("content"))
+    # bytes pass through strings as they are
+    return body.select("name", F.array_join(F.transform("ps", lambda p: p["piece"].cast("string")), "").cast("binary").alias("content"))
 
 
 def write_archives(pieces: DataFrame, folder: str) -> None:
@@ -116,12 +121,50 @@ def record_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> It
         yield made()
 
 
-def chunk_rows(read: DataFrame) -> DataFrame:
-    """path, method, chunk_idx, orig_sz, raw, packed, error of all records of sound headers (columns path,
-    header, content); a record that runs past the end is reported and ends its archive."""
-    start = (F.octet_length("header.name_bytes") + 29).cast("int")
-    sound = read.where("header.error IS NULL").select("content", "path", "header.method", start.alias("at"), F.col("header.n_chunks").cast("int").alias("n"))
-    return sound.mapInArrow(record_batches, CHUNK_SCHEMA)
+def chunk_rows(files: DataFrame, decode: Callable[[bytes, int], bytes | None], with_data: bool) -> DataFrame:
+    """Of archives (path, content) a row with head, which is what ``headers`` reads, and one for each record of those with a sound
+    header: path, chunk_idx, got (bytes), crc and fault, with data if it is asked for.  A record that runs past the end is reported and
+    ends its archive.  Archives are read once, and their chunks decoded where they are read, by ``decode(packed, method)``,
+    which gives null for what does not decode."""
+    columns = {k: t for k, t in CHECKED_TYPES.items() if with_data or k != "data"}
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), columns.values())], names=list(columns))
+
+    def run(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for lo, hi in ranges(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), most, 4096):
+                for path, content in zip(*(c[lo:hi].to_pylist() for c in batch.columns)):
+                    content = content or b""
+                    rows.append((path, content[: 29 + int.from_bytes(content[23:25], "big")], *[None] * (len(columns) - 2)))
+                    held += len(rows[-1][1]) + 64
+                    if (sound := _sound(content)) is None:
+                        continue
+                    method, at, n = sound
+                    for i, size, raw, packed, fault in _walked(io.BytesIO(content), len(content), at, 0, n):
+                        data = packed if raw or packed is None else decode(packed, method)
+                        got, crc = (None, None) if data is None else (len(data), zlib.crc32(data))
+                        fault = fault or ("chunk decode" if data is None else "chunk size" if got != size else None)
+                        rows.append((path, None, i, got, crc, fault, data)[: len(columns)])
+                        held += 64 + (len(data or b"") if with_data else 0)
+                        if held > most:
+                            yield made(rows)
+                            rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+    kinds = "path string, head binary, chunk_idx int, got long, crc long, fault string"
+    return files.select("path", "content").mapInArrow(run, kinds + ", data binary" * with_data)
+
+
+def _sound(content: bytes) -> tuple[int, int, int] | None:
+    """Method, first record's place and number of records where ``headers`` finds no error."""
+    if len(content) < 29 or content[:4] not in (b"CZIP", b"CRAR") or content[4] != 1 or content[5] not in METHODS.values():
+        return None
+    at = 29 + int.from_bytes(content[23:25], "big")
+    n = int.from_bytes(content[at - 4 : at], "big")
+    return (content[5], at, n) if at <= len(content) and 1 <= n <= MOST_CHUNKS else None
 
 
 def _walked(file, length: int, at: int, first: int, stop: int) -> Iterator[tuple]:
