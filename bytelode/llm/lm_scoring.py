@@ -10,7 +10,8 @@ backpropagation over its training documents, and the tasks' parameters are avera
 every training document takes part, and what is gathered grows with the input.  Scoring carries the
 state across windows through each whole document.
 
-The counts of a bounded head of words go to all tasks; the counts of all others are joined.
+The counts of a bounded head of words go to all tasks; the counts of all others are joined.  Texts are cut into words for the counts,
+and once more for the ids that training and scoring read, two bytes each.
 
 Each task trains apart, so scores depend a little on how the documents are dealt out; the probability of each text is whole
 whatever the dealing.
@@ -121,14 +122,19 @@ class Vocabulary:
         return np.append(self.id[self.places(words)], np.int32(0))
 
 
-def _task_models(train: DataFrame, start: Callable[[], tuple[Vocabulary, Gru]]) -> DataFrame:
-    """part, chunk, weight, values: each task's parameters after its pass."""
+def unpacked(ids: pa.Array) -> list[np.ndarray]:
+    """The ids of each document, of two bytes each."""
+    return [np.frombuffer(x, np.uint16).astype(np.int32) for x in ids.to_pylist()]
+
+
+def _task_models(train: DataFrame, start: Callable[[], Gru]) -> DataFrame:
+    """part, chunk, weight, values: each task's parameters after its pass over ``train`` (ids)."""
 
     def run(batches):
-        vocabulary, model = start()
+        model = start()
         squares, weight = model.fresh_squares(), 0
         for batch in batches:
-            docs = [vocabulary.ids(words_of(t)) for t in batch.column(0).to_pylist()]
+            docs = unpacked(batch.column(0))
             if docs:
                 model.train(docs, squares, rate=0.05)
                 weight += sum(map(len, docs))
@@ -146,7 +152,7 @@ def _task_models(train: DataFrame, start: Callable[[], tuple[Vocabulary, Gru]])
                 names=["part", "chunk", "weight", "values"],
             )
 
-    return train.select("text").mapInArrow(run, "part int, chunk int, weight double, values array<float>")
+    return train.select("ids").mapInArrow(run, "part int, chunk int, weight double, values array<float>")
 
 
 def _mean(parts: DataFrame, *by: str) -> DataFrame:
@@ -158,87 +164,114 @@ def _mean(parts: DataFrame, *by: str) -> DataFrame:
     return parts.groupBy(*by).applyInPandas(mean, "part int, chunk int, weight double, values array<float>")
 
 
-def fit(train: DataFrame, counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary and the averaged parameters, both of bounded size."""
-    spark = train.sparkSession
-    vocabulary = Vocabulary(counts)
+def started(train: DataFrame, vocabulary: Vocabulary) -> Gru:
+    """A model fitted on a bounded draw of the training documents: what all tasks start from."""
     model = Gru(vocabulary.counts, WORDS)
     n = train.count()
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_000))
     first = train.where(F.length("text") <= START_CHARS).where(draw < math.ceil(1_000_000 * min(1.0, START_DOCS / max(1, n))))
-    # equal rows are drawn together, so the bound is put on what is drawn as well; every document is trained on below
+    # equal rows are drawn together, so the bound is put on what is drawn as well; every document is trained on later
     docs = [vocabulary.ids(words_of(t)) for t in sorted(r["text"] for r in first.select("text").limit(2 * START_DOCS).collect())]
     if docs:
         squares = model.fresh_squares()
         for _ in range(2):
             model.train(docs, squares)
-    shared = spark.sparkContext.broadcast((vocabulary, model))
+    return model
+
+
+def fit(train: DataFrame, vocabulary: Vocabulary, model: Gru) -> np.ndarray:
+    """The averaged parameters, of bounded size, from ``model`` and the ids of all training documents."""
+    shared = train.sparkSession.sparkContext.broadcast((vocabulary.counts, model.flat()))
 
-    def start() -> tuple[Vocabulary, Gru]:
-        vocabulary, model = shared.value
-        own = Gru(vocabulary.counts, WORDS)
-        own.set_flat(model.flat())
-        return vocabulary, own
+    def start() -> Gru:
+        counts, flat = shared.value
+        own = Gru(counts, WORDS)
+        own.set_flat(flat)
+        return own
 
     parts = _task_models(train, start).withColumn("part", F.pmod("part", F.lit(256)))
     chunks = _mean(_mean(parts, "chunk", "part"), "chunk").select("chunk", "values").collect()
-    if chunks:
-        model.set_flat(np.concatenate([np.asarray(r["values"], np.float32) for r in sorted(chunks, key=lambda r: r["chunk"])]))
-    return vocabulary, model.flat()
+    return np.concatenate([np.asarray(r["values"], np.float32) for r in sorted(chunks, key=lambda r: r["chunk"])]) if chunks else model.flat()
 
 
-def _partial_scores(docs: DataFrame, held_out: Column, vocabulary: Vocabulary, flat: np.ndarray) -> DataFrame:
-    """What a task can say of its documents, and the words outside the head that it cannot."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
+def _looked_up(docs: DataFrame, train: Column, held_out: Column, vocabulary: Vocabulary) -> DataFrame:
+    """The ids of every document, what the head says of its words, and the words outside the head; texts are cut into words once for
+    training and scoring."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        v, flat = shared.value
-        model = Gru(v.counts, WORDS)
-        model.set_flat(flat)
+        v = shared.value
         part, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, known, base, rest, keys, times = [], [], [], [], [], []
-            for text in batch.column(2).to_pylist():
-                words = words_of(text)
-                found = v.places(words)
-                others = Counter([key_of(words[i]) for i in np.flatnonzero(found < 0).tolist()])
-                ids.append(np.append(v.id[found], np.int32(0)))
-                known.append(len(words) - others.total() + v.known_end)
-                base.append(float(v.log[found].sum()) + v.log_end)
-                rest.append(float(v.rest[found].sum()))
-                keys.append(list(others))
-                times.append(list(others.values()))
-            if not ids:
-                continue
-            score = model.score(ids) / math.log(10) + np.array(rest)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range((part << 40) + nth, (part << 40) + nth + len(ids)), pa.int64()),
-                    *batch.columns[:2],
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(score, pa.float64()),
-                    pa.array(keys, pa.list_(pa.binary())),
-                    pa.array(times, pa.list_(pa.int64())),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "keys", "times"],
-            )
-            nth += len(ids)
+            for lo in range(0, batch.num_rows, 1000):
+                cut = batch.slice(lo, 1000)
+                ids, sizes, known, base, rest, keys, times = [], [], [], [], [], [], []
+                for text in cut.column(3).to_pylist():
+                    words = words_of(text)
+                    found = v.places(words)
+                    others = Counter([key_of(words[i]) for i in np.flatnonzero(found < 0).tolist()])
+                    ids.append(np.append(v.id[found], np.int32(0)).astype(np.uint16).tobytes())
+                    sizes.append(len(words) + 1)
+                    known.append(len(words) - others.total() + v.known_end)
+                    base.append(float(v.log[found].sum()) + v.log_end)
+                    rest.append(float(v.rest[found].sum()))
+                    keys.append(list(others))
+                    times.append(list(others.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range((part << 40) + nth, (part << 40) + nth + len(ids)), pa.int64()),
+                        *cut.columns[:3],
+                        pa.array(ids, pa.binary()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(known, pa.int64()),
+                        pa.array(base, pa.float64()),
+                        pa.array(rest, pa.float64()),
+                        pa.array(keys, pa.list_(pa.binary())),
+                        pa.array(times, pa.list_(pa.int64())),
+                    ],
+                    names=["row", "doc_id", "held_out", "train", "ids", "n_tokens", "known", "base", "rest", "keys", "times"],
+                )
+                nth += len(ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(
+    return docs.select("doc_id", held_out.alias("held_out"), train.alias("train"), "text").mapInArrow(
         run,
-        f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, keys array<binary>, times array<long>",
+        f"row long, doc_id {kind}, held_out boolean, train boolean, ids binary, n_tokens long, known long, base double, rest double, keys array<binary>, times array<long>",
     )
 
 
-def score_documents(docs: DataFrame, train: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    counts = staged(word_counts(train), "words")
-    vocabulary, flat = fit(train, counts)
-    made = staged(_partial_scores(docs, held_out, vocabulary, flat), "scores")
-    words = made.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
+def _scored(docs: DataFrame, counts: np.ndarray, flat: np.ndarray) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, known, base and score of ``_looked_up`` documents, words outside the head as their classes."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts, flat))
+
+    def run(batches):
+        counts, flat = shared.value
+        model = Gru(counts, WORDS)
+        model.set_flat(flat)
+        for batch in batches:
+            if batch.num_rows:
+                score = model.score(unpacked(batch.column(0))) / math.log(10) + batch.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(score, pa.float64())], names=[*batch.schema.names[2:], "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("ids", "rest", "row", "doc_id", "held_out", "n_tokens", "known", "base").mapInArrow(
+        run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double"
+    )
+
+
+def score_documents(docs: DataFrame, train: DataFrame | Column, held_out: Column) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, learned from ``train``: documents, or the
+    condition that tells those of ``docs``, whose texts are then cut into words once for both."""
+    own = isinstance(train, Column)
+    texts = docs.where(train) if own else train
+    counts = staged(word_counts(texts), "words")
+    vocabulary = Vocabulary(counts)
+    model = started(texts, vocabulary)
+    known = staged(_looked_up(docs, train if own else F.lit(False), held_out, vocabulary), "known")
+    taught = known.where("train") if own else _looked_up(train, F.lit(True), F.lit(False), vocabulary)
+    flat = fit(taught, vocabulary, model)
+    made = staged(_scored(known, vocabulary.counts, flat), "scores")
+    words = known.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
     found = words.join(counts.select("key", "n"), "key", "left").select(
         "row",
         F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"),
@@ -246,7 +279,7 @@ def score_documents(docs: DataFrame, train: DataFrame, held_out: Column) -> Data
     )
     sums = found.groupBy("row").agg(F.sum("known").alias("known_more"), F.sum("log").alias("log"))
     more = F.coalesce("log", F.lit(0.0))
-    return made.drop("keys", "times").join(sums, "row", "left").select(
+    return made.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -32,7 +32,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dealt(table(spark, sf_dir, "documents"))
-    return lm_scoring.score_documents(docs, docs.where(crc_mod5("doc_id") != 1), crc_mod5("doc_id") == 1)
+    return lm_scoring.score_documents(docs, crc_mod5("doc_id") != 1, crc_mod5("doc_id") == 1)
 
 
 def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Documents run side by side in lanes.  They go in rounds: first the first piece of every document, then the second
 of those that have one, from the state that the first has left, and so on; so lanes are full of pieces of like length
-however long a document is, and its state is carried across windows and pieces to its end."""
+however long a document is, and its state is carried across windows and pieces to its end.  Units lie before lanes, so that
+every operation runs over many lanes at once."""
 
 from __future__ import annotations
 
@@ -18,12 +19,26 @@ Lanes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 def sigmoid(x: np.ndarray) -> None:
     """In place."""
     np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     np.reciprocal(x, out=x)
 
 
+def tanh(x: np.ndarray) -> None:
+    """In place, by one exponential, which is half of what numpy's takes."""
+    x *= 2
+    sigmoid(x)
+    x *= 2
+    x -= 1
+
+
+def by_place(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of (unit, time, lane) rows of units at the places, all times and lanes one behind the other."""
+    rows = np.ascontiguousarray(values.reshape(len(values), -1).T)
+    return rows if len(at) == len(rows) else rows.take(at, axis=0)
+
+
 def window(lanes: int) -> int:
     """Steps of a window: the fewer lanes, the longer, up to eight times ``WINDOW``, so that each has words enough."""
     return WINDOW * max(1, min(8, LANES // max(1, lanes)))
@@ -91,29 +106,35 @@ class Gru:
         self.word_b = (np.log(counts[:words] + 0.5) - np.log(per_class[self.of_word])).astype(np.float32)
 
     def forward(self, x: np.ndarray, start: np.ndarray, own: np.ndarray, busy: np.ndarray, h: np.ndarray, carry: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after every step of a window; ``h`` is carried over in place.  A piece starts from its row of ``carry``, and
-        leaves its last state there."""
-        n, out, begins = HIDDEN, np.zeros((*x.shape, HIDDEN), np.float32), start.any(axis=1)
-        for t, k in enumerate(busy.tolist()):
-            prev = h[:k].copy()
+        """States (unit, time, lane) after every step of a window; ``h`` (unit, lane) is carried over in place.  A piece starts from its
+        column of ``carry``, and leaves its last state there.  ``keep`` takes what the way back needs: previous states, both gates,
+        new states and their recurrent part."""
+        n, begins = HIDDEN, start.any(axis=1)
+        out, weights = np.zeros((n, *x.shape), np.float32), np.ascontiguousarray(self.state.T)
+        inputs = np.ascontiguousarray(self.inputs.T).take(x.ravel(), axis=1).reshape(3 * n, *x.shape)
+        lasts = [*busy.tolist(), 0]
+        for t, k in enumerate(lasts[:-1]):
+            prev, u = h[:, :k].copy(), inputs[:, t, :k]
             if begins[t]:
                 at = np.flatnonzero(start[t, :k])
-                prev[at] = carry[own[t, at]]
-            u, g = self.inputs.take(x[t, :k], axis=0), prev @ self.state
-            gates = g[:, : 2 * n] + u[:, : 2 * n]
+                prev[:, at] = carry[:, own[t, at]]
+            g = weights @ prev
+            gates = g[: 2 * n] + u[: 2 * n]
             sigmoid(gates)
-            z, r = gates[:, :n], gates[:, n:]
-            new = r * g[:, 2 * n :]
-            new += u[:, 2 * n :]
-            np.tanh(new, out=new)
-            now = out[t, :k]
+            z, r = gates[:n], gates[n:]
+            new = r * g[2 * n :]
+            new += u[2 * n :]
+            tanh(new)
+            now = out[:, t, :k]
             np.subtract(prev, new, out=now)
             now *= z
             now += new
             if keep is not None:
-                keep.append((prev, z, r, new, g[:, 2 * n :]))
-            h[:k] = now
-            carry[own[t, :k]] = now
+                keep.append((prev, z, r, new, g[2 * n :]))
+            h[:, :k] = now
+            if lasts[t + 1] < k or begins[t + 1]:
+                ends = np.flatnonzero(start[t + 1, :k] | (np.arange(k) >= lasts[t + 1])) if t + 1 < len(x) else np.arange(k)
+                carry[:, own[t, ends]] = now[:, ends]
         return out
 
     @staticmethod
@@ -131,7 +152,7 @@ class Gru:
         c = self.class_of[y]
         out = self._softmax(self.class_w.T, self.class_b, s, c)[1].astype(np.float64)
         for a, b, at in self._by_class(y, c):
-            out[at] += self._softmax(self.word_w[a:b], self.word_b[a:b], s[at], y[at] - a)[1]
+            out[at] += self._softmax(self.word_w[a:b], self.word_b[a:b], s.take(at, axis=0), y[at] - a)[1]
         return out
 
     def _by_class(self, y: np.ndarray, c: np.ndarray):
@@ -144,24 +165,24 @@ class Gru:
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each whole document (tail words: of their class)."""
-        out, carry = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32)
+        out, carry = np.zeros(len(docs)), np.zeros((HIDDEN, len(docs)), np.float32)
         for numbers, pieces, before in rounds(docs):
             x, y, start, own, busy = in_lanes(pieces, before)
-            own, h, step = numbers[own], np.zeros((x.shape[1], HIDDEN), np.float32), 4 * window(x.shape[1])
+            own, h, step = numbers[own], np.zeros((HIDDEN, x.shape[1]), np.float32), 4 * window(x.shape[1])
             for lo in range(0, len(x), step):
                 cut = slice(lo, lo + step)
                 s = self.forward(x[cut], start[cut], own[cut], busy[cut], h, carry)
                 live = np.arange(x.shape[1])[None, :] < busy[cut, None]
-                out += np.bincount(own[cut][live], self.log_probs(s[live], y[cut][live]), len(docs))
+                out += np.bincount(own[cut][live], self.log_probs(by_place(s, np.flatnonzero(live)), y[cut][live]), len(docs))
         return out
 
     def train(self, docs: list[np.ndarray], squares: dict[str, np.ndarray], rate: float = 0.1) -> None:
         """One pass of truncated backpropagation, a step of Adagrad after each window.  Gradients end with the
         window, states are carried on through each whole document."""
-        carry = np.zeros((len(docs), HIDDEN), np.float32)
+        carry = np.zeros((HIDDEN, len(docs)), np.float32)
         for numbers, pieces, before in rounds(docs):
             x, y, start, own, busy = in_lanes(pieces, before)
-            own, h, step = numbers[own], np.zeros((x.shape[1], HIDDEN), np.float32), window(x.shape[1])
+            own, h, step = numbers[own], np.zeros((HIDDEN, x.shape[1]), np.float32), window(x.shape[1])
             for lo in range(0, len(x), step):
                 cut = slice(lo, lo + step)
                 self._step(x[cut], y[cut], start[cut], own[cut], busy[cut], h, carry, squares, rate)
@@ -171,10 +192,10 @@ class Gru:
         getattr(self, name)[at] -= rate * grad / np.sqrt(squares[name][at])
 
     def _step(self, x, y, start, own_docs, busy, h, carry, squares, rate) -> None:
-        n, kept = HIDDEN, []
+        n, (steps, lanes), kept = HIDDEN, x.shape, []
         states = self.forward(x, start, own_docs, busy, h, carry, kept)
-        live = np.arange(x.shape[1])[None, :] < busy[:, None]
-        s, targets = states[live], y[live]
+        live = np.flatnonzero(np.arange(lanes)[None, :] < busy[:, None])
+        s, targets = by_place(states, live), y.ravel()[live]
         scale = np.float32(1 / len(targets))
         c, places = self.class_of[targets], np.arange(len(targets))
         p, _ = self._softmax(self.class_w.T, self.class_b, s, c)
@@ -183,38 +204,41 @@ class Gru:
         back = np.ascontiguousarray((self.class_w @ p).T)
         grads = [("class_w", (p @ s).T, slice(None)), ("class_b", p.sum(axis=1), slice(None))]
         for a, b, at in self._by_class(targets, c):
-            own, mine = s[at], targets[at] - a
+            own, mine = s.take(at, axis=0), targets[at] - a
             q, _ = self._softmax(self.word_w[a:b], self.word_b[a:b], own, mine)
             q *= scale / q.sum(axis=0)
             q[mine, places[: len(at)]] -= scale
             back[at] += q.T @ self.word_w[a:b]
             grads.append(("word_w", q @ own, slice(a, b)))
             grads.append(("word_b", q.sum(axis=1), slice(a, b)))
-        full = np.zeros(states.shape, np.float32)
-        full[live] = back
-        state_grad, input_grad = np.zeros_like(self.state), np.zeros((*x.shape, 3 * n), np.float32)
-        dh, begins = np.zeros((x.shape[1], n), np.float32), start.any(axis=1)
-        for t in range(len(x) - 1, -1, -1):
+        full = back
+        if len(live) < steps * lanes:
+            full = np.zeros((steps * lanes, n), np.float32)
+            full[live] = back
+        full = np.ascontiguousarray(full.T).reshape(n, steps, lanes)
+        before, of_inputs = np.zeros((n, steps, lanes), np.float32), np.zeros((3 * n, steps, lanes), np.float32)
+        of_reset = np.zeros((n, steps, lanes), np.float32)
+        dh, begins = np.zeros((n, lanes), np.float32), start.any(axis=1)
+        for t in range(steps - 1, -1, -1):
             k = busy[t]
             prev, z, r, new, gn = kept[t]
-            d = dh[:k] + full[t, :k]
-            keeps, gate = d * z, input_grad[t, :k]
+            before[:, t, :k] = prev
+            d = dh[:, :k] + full[:, t, :k]
+            keeps, dg = d * z, np.empty((3 * n, k), np.float32)
             dn = d - keeps
-            gate[:, :n] = dn * (prev - new) * z
+            np.multiply(dn * (prev - new), z, out=dg[:n])
             dn *= 1 - new * new
-            gate[:, n : 2 * n] = dn * gn * r * (1 - r)
-            gate[:, 2 * n :] = dn
-            dg = gate.copy()
-            dg[:, 2 * n :] *= r
-            state_grad += prev.T @ dg
-            keeps += dg @ self.state.T
-            dh[:k] = keeps * ~start[t, :k, None] if begins[t] else keeps
-        ids, flat = x[live], input_grad[live]
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        rows = ids[first]
-        grads.append(("inputs", np.add.reduceat(flat[order], first, axis=0), rows))
+            np.multiply(dn, r, out=dg[2 * n :])
+            np.multiply(dg[2 * n :] * gn, 1 - r, out=dg[n : 2 * n])
+            of_inputs[:, t, :k], of_reset[:, t, :k] = dg, dn
+            keeps += self.state @ dg
+            dh[:, :k] = keeps * ~start[t, :k] if begins[t] else keeps
+        state_grad = before.reshape(n, -1) @ of_inputs.reshape(3 * n, -1).T
+        of_inputs[2 * n :] = of_reset
+        ids = x.ravel()  # idle lanes have id 0 and add nothing
+        rows = np.flatnonzero(np.bincount(ids, minlength=len(self.inputs)))
+        sums = np.stack([np.bincount(ids, of_unit, len(self.inputs))[rows] for of_unit in of_inputs.reshape(3 * n, -1)], 1)
+        grads.append(("inputs", sums.astype(np.float32), rows))
         grads.append(("state", state_grad, slice(None)))
         for name, grad, at in grads:
             self._descend(name, grad, squares, rate, at)
